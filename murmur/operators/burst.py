@@ -116,9 +116,23 @@ def _rule_structs(rules: list[BurstRule]) -> Column:
     )
 
 
+def cell_of(moment: Column, width: Column) -> Column:
+    """Index of the interval of ``width`` that holds ``moment``; exact, never null here."""
+    return F.coalesce(
+        F.call_function("div", moment - F.pmod(moment, width), width), F.lit(0)
+    ).cast("long")
+
+
 def _with_rules(obs: DataFrame, rules: list[BurstRule], columns: list[str]) -> DataFrame:
     """Each row once per rule (a handful of literals, not a join)."""
-    return obs.select(
+    # A row without tenant, project or time belongs to nobody. Saying so here also keeps the
+    # plans of all users of this frame alike, so that their shuffles are shared.
+    owned = obs.where(
+        F.col("tenant_id").isNotNull()
+        & F.col("project_id").isNotNull()
+        & F.col("posted_at").isNotNull()
+    )
+    return owned.select(
         *SCOPE, *columns, micros(F.col("posted_at")).alias("t"),
         F.explode(_rule_structs(rules)).alias("rule"),
     ).select(
@@ -140,7 +154,7 @@ def qualifying_starts(obs: DataFrame, rules: list[BurstRule]) -> DataFrame:
         _with_rules(obs, rules, ["account_id"])
         .groupBy(*KEYS, *shape, "account_id", "t")
         .agg(F.count("*").alias("n"))
-        .withColumn("own", F.floor(F.col("t") / length))
+        .withColumn("own", cell_of(F.col("t"), length))
     )
     # The previous item of the account matters only within W, so the rows in the last W of a
     # slot are shown to the next slot as context and an account's history is cut per slot.
@@ -216,7 +230,12 @@ def burst_starts(
 ) -> DataFrame:
     """The windows that fire, by start: keys, at (µs), item_count, account_count, gap."""
     starts = qualifying_starts(obs, rules or [BurstRule()])
-    return choose_spaced(starts, KEYS, covered=covered)
+    return choose_spaced(
+        starts,
+        KEYS,
+        keep=["item_count", "account_count", "minimum_items", "minimum_accounts"],
+        covered=covered,
+    )
 
 
 def members(obs: DataFrame, starts: DataFrame, rules: list[BurstRule] | None = None) -> DataFrame:
@@ -231,9 +250,9 @@ def members(obs: DataFrame, starts: DataFrame, rules: list[BurstRule] | None = N
         if c in obs.columns
     ]
     items = _with_rules(obs, rules or [BurstRule()], columns).withColumn(
-        "cell", F.floor(F.col("t") / F.col("gap"))
+        "cell", cell_of(F.col("t"), F.col("gap"))
     )
-    cell = F.floor(F.col("at") / F.col("gap"))
+    cell = cell_of(F.col("at"), F.col("gap"))
     windows = starts.select(
         *KEYS, "at", F.explode(F.array(cell, cell + 1)).alias("cell")
     )

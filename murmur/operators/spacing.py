@@ -50,13 +50,14 @@ def _steps(points: np.ndarray, gap: int, slot_start: int) -> tuple[np.ndarray, n
 def choose_spaced(
     points: DataFrame,
     keys: list[str],
+    keep: list[str] | None = None,
     at: str = "at",
     slot: str = "slot",
     gap: str = "gap",
     slot_length: str = "slot_length",
     covered: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of ``points`` the greedy rule takes, per ``keys``.
+    """Rows of ``points`` the greedy rule takes, per ``keys``, with the columns ``keep``.
 
     ``points`` has one row per moment, with ``slot`` = floor(at / slot_length) and
     ``slot_length`` >= ``gap``, all longs; ``gap`` and ``slot_length`` are constant per
@@ -66,7 +67,8 @@ def choose_spaced(
     fields = {f.name: f for f in points.schema.fields}
     key_fields = [fields[k] for k in keys]
     slot_field = T.StructField(slot, T.LongType())
-    lean = points.select(*group, at, gap, slot_length)
+    payload = [at, *(keep or []), gap, slot_length]
+    lean = points.select(*group, *payload)
 
     step_schema = T.StructType(
         [*key_fields, slot_field, T.StructField("below", T.LongType()),
@@ -113,22 +115,19 @@ def choose_spaced(
 
     on_entry = functions.groupBy(*keys).applyInPandas(entries, entry_schema)
 
-    chosen_schema = T.StructType([*key_fields, slot_field, T.StructField(at, T.LongType())])
+    chosen_schema = T.StructType(
+        [*key_fields, slot_field, *[fields[name] for name in payload]]
+    )
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        moments = np.sort(pdf[at].to_numpy())
+        pdf = pdf.sort_values(at, kind="stable")
+        moments = pdf[at].to_numpy()
         step, state = int(pdf[gap].iloc[0]), int(pdf["state"].iloc[0])
         taken = []
-        index = np.searchsorted(moments, state, side="right")
+        index = int(np.searchsorted(moments, state, side="right"))
         while index < len(moments):
-            taken.append(moments[index])
-            index = np.searchsorted(moments, moments[index] + step, side="right")
-        out = pd.DataFrame({slot: int(key[-1]), at: np.array(taken, dtype=np.int64)})
-        for position, name in enumerate(keys):
-            out[name] = key[position]
-        return out[chosen_schema.names]
+            taken.append(index)
+            index = int(np.searchsorted(moments, moments[index] + step, side="right"))
+        return pdf.iloc[taken][chosen_schema.names]
 
-    chosen = (
-        lean.join(on_entry, group).groupBy(*group).applyInPandas(choose, chosen_schema)
-    )
-    return points.join(chosen, [*group, at], "left_semi")
+    return lean.join(on_entry, group).groupBy(*group).applyInPandas(choose, chosen_schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +24,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="murmur-zip-")) / package.name),
+        "zip",
+        root_dir=package.parent,
+        base_dir=package.name,
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def local_session(app: str = "murmur", cores: str = "8") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -33,13 +55,14 @@ def local_session(app: str = "murmur", cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
