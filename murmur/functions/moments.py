@@ -58,6 +58,36 @@ _OFFSET = (
 ISO = rf"(?s)\A{_DATE}(?:.{_CLOCK}{_OFFSET})?\z"
 
 
+# What the pattern accepts is rewritten step by step to one spelling that casts.
+_CANONICAL = [
+    (r"\A(\d{4})(\d{2})(\d{2})(?=\D|\z)", "$1-$2-$3"),
+    (r"(?s)\A(.{10})\z", "$1T00:00:00"),
+    (r"(?s)\A(.{10}).", "$1T"),
+    (r"\A(.{11}\d{2})(\d{2})(\d{2})(?=[.,+-]|\z)", "$1:$2:$3"),
+    (r"\A(.{11}\d{2})(\d{2})(?=[+-]|\z)", "$1:$2"),
+    (r"\A(.{11}\d{2})(?=[+-]|\z)", "$1:00"),
+    (r"\A(.{11}\d{2}:\d{2})(?=[+-]|\z)", "$1:00"),
+    (r"\A(.{19})[.,](\d{1,6})\d*", "$1.$2"),
+    (r"\A(.{19}[^+-]*[+-]\d{2})\z", "$1:00"),
+    (r"\A(.{19}[^+-]*[+-]\d{2})(\d{2})(\d{2})?\z", "$1:$2"),
+    (r"\A(.{19}[^+-]*[+-]\d{2}:\d{2})[:.\d]*\z", "$1"),
+    (r"\A(.{19}[^+-]*)\z", "$1+00:00"),
+]
+
+
+def _week_to_calendar(value: Column) -> Column:
+    """``2026-W32-2T...`` with the week written as a calendar date."""
+    compact = F.replace(F.regexp_extract(value, _DATE, 1), F.lit("-"), F.lit(""))
+    week = F.substring(compact, 6, 2).try_cast("int")
+    weekday = F.coalesce(F.substring(compact, 8, 1).try_cast("int"), F.lit(1))
+    fourth = F.concat(F.substring(compact, 1, 4), F.lit("-01-04")).try_cast("date")
+    day = F.date_add(F.date_trunc("week", fourth).cast("date"), (week - 1) * 7 + weekday - 1)
+    valid = (week >= 1) & (F.weekofyear(day) == week)
+    return F.when(
+        valid, F.concat(day.cast("string"), F.regexp_replace(value, rf"\A{_DATE}", ""))
+    )
+
+
 def parse_iso(raw: Column) -> Column:
     """ISO 8601 text to an instant; blank or malformed gives null, no zone means UTC.
 
@@ -65,41 +95,10 @@ def parse_iso(raw: Column) -> Column:
     (``2026``, ``9:12``) nor its narrower ones (``T09:12+00:00``) leak through.
     """
     value = F.replace(strip(raw), F.lit("Z"), F.lit("+00:00"))
-
-    def group(index: int) -> Column:
-        return F.regexp_extract(value, ISO, index)
-
-    def first(*indexes: int) -> Column:
-        return F.coalesce(
-            *[F.when(group(i) != "", group(i)) for i in indexes], F.lit("00")
-        )
-
-    date = group(1)
-    compact = F.replace(date, F.lit("-"), F.lit(""))
-    calendar = F.concat_ws(
-        "-", F.substring(compact, 1, 4), F.substring(compact, 5, 2), F.substring(compact, 7, 2)
-    ).try_cast("date")
-    year = F.substring(compact, 1, 4)
-    week = F.substring(compact, 6, 2).try_cast("int")
-    weekday = F.coalesce(F.substring(compact, 8, 1).try_cast("int"), F.lit(1))
-    monday = F.date_trunc("week", F.concat(year, F.lit("-01-04")).try_cast("date")).cast("date")
-    by_week = F.date_add(monday, ((week - 1) * 7 + weekday - 1))
-    by_week = F.when((week >= 1) & (F.weekofyear(by_week) == week), by_week)
-    day = F.when(compact.contains("W"), by_week).otherwise(calendar)
-
-    fraction = F.rpad(F.substring(F.coalesce(
-        F.when(group(5) != "", group(5)), F.when(group(8) != "", group(8)), F.lit("")
-    ), 1, 6), 6, "0")
-    clock = F.concat_ws(":", first(2), first(3, 6), first(4, 7))
-    instant = F.concat(
-        day.cast("string"), F.lit(" "), clock, F.lit("."), fraction, F.lit("+00:00")
-    ).try_cast("timestamp")
-    shift = (
-        first(10).cast("int") * 3600 + first(11, 13).cast("int") * 60 + first(12, 14).cast("int")
-    )
-    signed = F.when(group(9) == "-", -shift).otherwise(shift)
-    utc = F.timestamp_micros(F.unix_micros(instant) - signed.cast("long") * MICROS)
-    return F.when(value.rlike(ISO), utc)
+    text = F.when(value.rlike(r"\A\d{4}-?W"), _week_to_calendar(value)).otherwise(value)
+    for pattern, replacement in _CANONICAL:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.when(value.rlike(ISO), text.try_cast("timestamp"))
 
 
 def rfc3339_micros(ts: Column) -> Column:
