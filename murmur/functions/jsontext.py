@@ -13,18 +13,27 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import float_text
 
-# JSON's two-character escapes.
-SHORT_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+# Escapes of the control characters; the common three are handled apart.
+COMMON_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+RARE_ESCAPES = {"\b": "\\b", "\f": "\\f"}
+RARE_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 def string(value: Column) -> Column:
     """A quoted JSON string, non-ASCII kept; null becomes ``null``."""
     safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    full = safe
-    for code in range(0x20):
-        char = chr(code)
-        full = F.replace(full, F.lit(char), F.lit(SHORT_ESCAPES.get(char, f"\\u{code:04x}")))
-    body = F.when(value.rlike(r"[\x00-\x1f]"), full).otherwise(safe)
+    for char, escape in COMMON_ESCAPES.items():
+        safe = F.replace(safe, F.lit(char), F.lit(escape))
+    spelled = F.array(*[F.lit(RARE_ESCAPES.get(chr(c), f"\\u{c:04x}")) for c in range(32)])
+
+    def escaped(char: Column) -> Column:
+        control = (F.length(char) > 0) & (F.ascii(char) < 32)
+        return F.when(control, F.get(spelled, F.ascii(char))).otherwise(char)
+
+    # Only texts with a rare control character are walked character by character.
+    body = F.when(
+        value.rlike(RARE_CONTROLS), F.array_join(F.transform(F.split(safe, ""), escaped), "")
+    ).otherwise(safe)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmur.functions import ids, jsontext, text
 from murmur.functions.moments import iso_offset_text
 from murmur.operators import chain
+from murmur.sources.archives import URI_PREFIX
 
 #: Names inside documents. Pass the ones your own documents were written with.
 MANIFEST_SPEC = "evidence-manifest-v1"
@@ -391,64 +392,76 @@ SEAL_SCHEMA = (
 
 
 def verify_archives(
-    artifacts: DataFrame, manifests: DataFrame, seals: DataFrame, spec: str = MANIFEST_SPEC
+    records: DataFrame, prefix: str = URI_PREFIX, spec: str = MANIFEST_SPEC
 ) -> DataFrame:
     """Check each archive from its own records, without any table.
 
-    ``artifacts`` has path, name and payload; ``manifests`` path and manifest (binary);
-    ``seals`` path and seal (binary).
+    One pass over the records and one shuffle: payloads of artifacts are replaced by their
+    digests first, and an archive's group holds names and digests, its manifest and its last
+    seal.
     """
-    observed = artifacts.select(
-        F.lit("").alias("tenant_id"), F.col("path").alias("bundle_id"), "name",
-        text.bytes_digest(F.col("payload")).alias("sha256"),
-    )
-    documents = manifests.select(
-        F.lit("").alias("tenant_id"),
-        F.col("path").alias("bundle_id"),
-        F.col("manifest").cast("string").alias("manifest"),
-    )
-    differing = (
-        compare_artifacts(listed_artifacts(parse_manifests(documents, spec)), observed)
-        .groupBy(F.col("bundle_id").alias("path"))
-        .agg(F.count("*").alias("differing"))
-    )
-    paths = artifacts.select("path").unionByName(manifests.select("path")).distinct()
-    read = seals.withColumn("s", F.from_json(F.col("seal").cast("string"), SEAL_SCHEMA))
-    digest = ids.prefixed_digest(
-        F.col("s.chain.preimage_version"),
-        F.col("s.chain.algorithm"),
-        F.col("s.chain.tenant_id"),
-        F.col("s.chain.chain_index").cast("string"),
-        F.col("s.chain.prev_hash"),
-        F.col("s.manifest_sha256"),
-        F.col("s.chain.bundle_id"),
-    )
-    sealed, has_manifest = F.col("s").isNotNull(), F.col("manifest").isNotNull()
+    lead = f"{prefix}:artifact:"
+    is_artifact = F.col("uri").startswith(lead)
+    lean = records.select(
+        "path",
+        "record_no",
+        F.when(is_artifact, F.substring(F.col("uri"), len(lead) + 1, 1 << 20)).alias("name"),
+        F.when(is_artifact, text.bytes_digest(F.col("payload"))).alias("sha256"),
+        F.when(F.col("uri") == f"{prefix}:manifest", F.col("payload")).alias("manifest"),
+        F.when(F.col("uri") == f"{prefix}:seal", F.col("payload")).alias("seal"),
+    )
+
+    def at(kind: str) -> Column:
+        return F.when(F.col(kind).isNotNull(), F.col("record_no"))
+
+    found = F.collect_list(
+        F.when(F.col("name").isNotNull(), F.struct("name", "sha256"))
+    )
+    archives = lean.groupBy("path").agg(
+        F.array_sort(found).alias("found"),
+        F.min_by("manifest", at("manifest")).alias("manifest"),
+        F.max_by("seal", at("seal")).alias("seal"),
+    )
+    read = archives.select(
+        "path",
+        "found",
+        F.col("manifest").isNotNull().alias("has_manifest"),
+        F.sha2("manifest", 256).alias("digest"),
+        F.from_json(F.col("manifest").cast("string"), MANIFEST_SCHEMA).alias("m"),
+        F.from_json(F.col("seal").cast("string"), SEAL_SCHEMA).alias("s"),
+    )
+    link = F.col("s.chain")
+    recomputed = ids.prefixed_digest(
+        link["preimage_version"], link["algorithm"], link["tenant_id"],
+        link["chain_index"].cast("string"), link["prev_hash"], F.col("s.manifest_sha256"),
+        link["bundle_id"],
+    )
+    listed = F.array_sort(
+        F.transform("m.artifacts", lambda a: F.struct(a["name"], a["sha256"]))
+    )
+    readable = F.col("has_manifest") & (F.col("m.spec") == spec)
+    sealed = F.col("s.chain").isNotNull()
+
+    def flag(condition: Column, name: str) -> Column:
+        return F.when(F.coalesce(condition, F.lit(False)), F.lit(name))
+
     flags = F.array_compact(
         F.array(
-            F.when(~has_manifest, F.lit("no manifest record")),
-            F.when(
-                has_manifest & (F.coalesce("differing", F.lit(0)) > 0), F.lit("artifacts differ")
+            flag(~F.col("has_manifest"), "no manifest record"),
+            flag(F.col("has_manifest") & ~F.coalesce(readable, F.lit(False)),
+                 "manifest unreadable"),
+            flag(readable & (listed != F.col("found")), "artifacts differ"),
+            flag(F.col("has_manifest") & ~sealed, "no seal record"),
+            flag(
+                F.col("has_manifest") & (F.col("s.manifest_sha256") != F.col("digest")),
+                "seal attests to another manifest",
             ),
-            F.when(has_manifest & ~sealed, F.lit("no seal record")),
-            F.when(
-                has_manifest & sealed
-                & (F.col("s.manifest_sha256") != F.sha2("manifest", 256)),
-                F.lit("seal attests to another manifest"),
-            ),
-            F.when(
-                has_manifest & sealed & (F.col("s.chain.entry_hash") != digest),
-                F.lit("chain entry does not recompute"),
-            ),
-            F.when(
-                has_manifest & sealed & (F.coalesce(F.size("s.timestamps"), F.lit(0)) == 0),
-                F.lit("no timestamp token"),
+            flag(sealed & (link["entry_hash"] != recomputed), "chain entry does not recompute"),
+            flag(
+                F.col("has_manifest") & sealed
+                & (F.coalesce(F.size("s.timestamps"), F.lit(0)) == 0),
+                "no timestamp token",
             ),
         )
     )
-    return (
-        paths.join(manifests, "path", "left")
-        .join(read.select("path", "s"), "path", "left")
-        .join(differing, "path", "left")
-        .select("path", flags.alias("problems"))
-    )
+    return read.select("path", flags.alias("problems"))

@@ -517,11 +517,7 @@ def archive_seals(spark, sf):
 )
 def archive_verify(spark, sf):
     """Each archive checked from its own records alone."""
-    records = archives.read_archives(_archive_bytes(spark, sf))
-    checked = evidence.verify_archives(
-        archives.artifacts(records), archives.manifests(records),
-        archives.latest_seals(records).drop("seals"),
-    )
+    checked = evidence.verify_archives(archives.read_archives(_archive_bytes(spark, sf)))
     problems = F.col("problems")
     sealed = ~F.array_contains(problems, "no seal record")
     return checked.select(
