@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.operators import burst
-from murmur.plans import detection, extraction, reads, sample, sealed
+from murmur.plans import detection, extraction, reads, sample, sealed, streams
 from murmur.plans.registry import ORACLES, QUERIES
 from murmur.session import prepare
 
-__all__ = ["ORACLES", "QUERIES", "detection", "extraction", "flagship", "reads", "sealed"]
+__all__ = ["ORACLES", "QUERIES", "detection", "extraction", "flagship", "reads", "sealed", "streams"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

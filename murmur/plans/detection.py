@@ -18,6 +18,7 @@ from murmur.plans.sample import (
     OBS_SQL,
     bursts_sql,
 )
+from murmur.session import materialise
 
 DEFAULT = [burst.BurstRule()]
 WIDE = [burst.BurstRule("wide", "wide windows", 3600, 20, 10)]
@@ -513,7 +514,7 @@ def evidence_refs(spark, sf):
  n AS item_count FROM f WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.s = f.s)""",
 )
 def unevidenced_clusters(spark, sf):
-    inside = _inside(spark, sf)
+    inside = materialise(_inside(spark, sf), "members")
     positions = review.evidence_positions(inside, sample.bundles(spark, sf))
     return review.unevidenced(burst.findings(inside, DEFAULT), positions).select(
         "finding_id", "item_count"

@@ -10,14 +10,20 @@ from murmur.plans.detection import DEFAULT, FINDING_ID, _POSITIONS_SQL
 from murmur.plans.registry import plain, query, table
 from murmur.plans.sample import BUNDLES_SQL, CAPTURES_SQL, bursts_sql
 from murmur.plans.sealed import GENESIS_SQL, _entry_sql
+from murmur.session import materialise
 
 # ---------------------------------------------------------------- findings as stored
 
 
 def _stored_findings(spark, sf):
-    """(findings, members, evidence positions), with only evidenced clusters kept."""
+    """(findings, members, evidence positions), with only evidenced clusters kept.
+
+    Membership is written out once, as a detection run would; everything else reads it.
+    """
     obs = sample.observations(spark, sf)
-    inside = burst.members(obs, burst.burst_starts(obs, DEFAULT), DEFAULT)
+    inside = materialise(
+        burst.members(obs, burst.burst_starts(obs, DEFAULT), DEFAULT), "members"
+    )
     positions = review.evidence_positions(inside, sample.bundles(spark, sf))
     found = review.evidenced(burst.findings(inside, DEFAULT), positions)
     labelled = review.label_findings(

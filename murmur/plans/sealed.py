@@ -12,6 +12,7 @@ from murmur.functions import text
 from murmur.operators import chain, evidence, quality
 from murmur.plans import sample
 from murmur.plans.registry import plain, prefixed_sql, query, table
+from murmur.session import materialise
 from murmur.sources import archives
 
 KEY = ["tenant_id", "bundle_id"]
@@ -172,7 +173,7 @@ chain AS (SELECT tenant_id, bundle_id, manifest_sha256, page_id, CAST(i AS BIGIN
 
 
 def _chain(spark, sf):
-    return chain.append(_sealed(spark, sf), ["page_id"], chain.EVIDENCE)
+    return materialise(chain.append(_sealed(spark, sf), ["page_id"], chain.EVIDENCE), "chain")
 
 
 @query(
@@ -181,7 +182,7 @@ def _chain(spark, sf):
 )
 def chain_append(spark, sf):
     """Bundles linked onto each tenant's chain."""
-    return _chain(spark, sf).select(
+    return chain.append(_sealed(spark, sf), ["page_id"], chain.EVIDENCE).select(
         "tenant_id", "chain_index", "bundle_id", "prev_hash", "entry_hash"
     )
 
