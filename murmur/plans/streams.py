@@ -15,8 +15,8 @@ from murmur.streaming import jobs, windows
 CHUNKS = 3
 
 
-def _replay(spark, sf, build, doubled: bool = False):
-    """A stream over all events, in id order, a third of them per micro-batch."""
+def _replay(spark, sf, build, drive, doubled: bool = False):
+    """Deliver all events in id order in a few parts; ``drive`` consumes each as it lands."""
     landing = work_dir(spark, "landing")
     events = table(spark, sf, "events")
     top = events.agg(F.max("event_id").alias("m")).first().m + 1
@@ -27,12 +27,8 @@ def _replay(spark, sf, build, doubled: bool = False):
         if doubled:
             chunk = chunk.unionByName(chunk.where(F.col("event_id") % 10 == 0))
         chunk.drop("event_id").write.parquet(f"{landing}/part={part}")
-    schema = spark.read.parquet(f"{landing}/part=0").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{landing}/part=*")
-    )
+        schema = spark.read.parquet(f"{landing}/part={part}").schema
+        drive(spark.readStream.schema(schema).parquet(f"{landing}/part=*"))
 
 
 def _observed(events):
@@ -56,7 +52,8 @@ def stream_bursts(spark, sf):
     """Burst windows found micro-batch by micro-batch; the same as in one pass."""
     path = work_dir(spark, "bursts")
     job = jobs.BurstStream(spark, path, burst.BurstRule(), delay_seconds=7200)
-    jobs.run(_replay(spark, sf, _observed), job.process, f"{path}/checkpoint")
+    checkpoint = f"{path}/checkpoint"
+    _replay(spark, sf, _observed, lambda stream: jobs.run(stream, job.process, checkpoint))
     job.flush()
     return _windows(job.findings())
 
@@ -72,8 +69,12 @@ def stream_sliding(spark, sf):
     """Closed sliding windows in which a burst of one account or more is possible."""
     path = work_dir(spark, "sliding")
     rule = burst.BurstRule(minimum_accounts=1)
-    stream = windows.busy_windows(_replay(spark, sf, _observed), rule, "10 minutes")
-    jobs.run_to_files(stream, f"{path}/out", f"{path}/checkpoint")
+
+    def drive(stream):
+        found = windows.busy_windows(stream, rule, "10 minutes")
+        jobs.run_to_files(found, f"{path}/out", f"{path}/checkpoint")
+
+    _replay(spark, sf, _observed, drive)
     out = spark.read.parquet(f"{path}/out")
     return out.select(plain("window_start").alias("window_start"), "items")
 
@@ -91,8 +92,12 @@ def stream_hourly_z(spark, sf):
     """Closed hours scored against the stored profile."""
     path = work_dir(spark, "hourly")
     profile = baseline.volume_profile(baseline.hourly_counts(sample.observations(spark, sf)))
-    stream = windows.hourly_z(_replay(spark, sf, _observed), profile, "10 minutes")
-    jobs.run_to_files(stream, f"{path}/out", f"{path}/checkpoint")
+
+    def drive(stream):
+        scored = windows.hourly_z(stream, profile, "10 minutes")
+        jobs.run_to_files(scored, f"{path}/out", f"{path}/checkpoint")
+
+    _replay(spark, sf, _observed, drive)
     out = spark.read.parquet(f"{path}/out")
     return out.select(
         "source_id", plain("hour").alias("hour"), "items", F.round("z", 9).alias("z")
@@ -106,8 +111,13 @@ def stream_hourly_z(spark, sf):
 def stream_dedupe(spark, sf):
     """Items delivered twice are let through once."""
     path = work_dir(spark, "dedupe")
-    stream = windows.first_sightings(_replay(spark, sf, _observed, doubled=True), "2 hours")
-    jobs.run_to_files(stream, f"{path}/out", f"{path}/checkpoint")
+
+    def drive(stream):
+        jobs.run_to_files(
+            windows.first_sightings(stream, "2 hours"), f"{path}/out", f"{path}/checkpoint"
+        )
+
+    _replay(spark, sf, _observed, drive, doubled=True)
     return spark.read.parquet(f"{path}/out").groupBy("source_id").agg(
         F.count("*").alias("items")
     )
@@ -141,7 +151,8 @@ def stream_upsert(spark, sf):
 
     path = work_dir(spark, "content")
     log = jobs.ContentLog(spark, path)
-    jobs.run(_replay(spark, sf, sighted), log.process, f"{path}/checkpoint")
+    checkpoint = f"{path}/checkpoint"
+    _replay(spark, sf, sighted, lambda stream: jobs.run(stream, log.process, checkpoint))
     return log.current().select(
         "content_id", plain("posted_at").alias("posted_at"), "capture_id", "last_capture_id",
         "last_trace_id", plain("first_seen").alias("first_seen"),
@@ -168,7 +179,8 @@ def stream_source_health(spark, sf):
 
     path = work_dir(spark, "health")
     job = jobs.HealthStream(spark, path)
-    jobs.run(_replay(spark, sf, attempts), job.process, f"{path}/checkpoint")
+    checkpoint = f"{path}/checkpoint"
+    _replay(spark, sf, attempts, lambda stream: jobs.run(stream, job.process, checkpoint))
     return job.current().withColumns(
         {
             "last_attempt_at": plain("last_attempt_at"),

@@ -33,7 +33,7 @@ class BurstStream:
         self.spark, self.path, self.rule = spark, path, rule
         self.delay = delay_seconds * MICROS
         self.gap = rule.window_seconds * MICROS
-        self.flushed = -1
+        self.last = -1
 
     def _read(self, table: str, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(_version(self.path, table, batch_id))
@@ -46,9 +46,9 @@ class BurstStream:
         self._advance(batch.select(*[c for c in burst.OBSERVATION_COLUMNS if c in batch.columns]),
                       batch_id, flush=False)
 
-    def flush(self) -> None:
-        """Decide what is still open; for the end of a bounded stream."""
-        last = self.flushed
+    def flush(self, last: int | None = None) -> None:
+        """Decide what is still open after batch ``last``; for the end of a bounded stream."""
+        last = self.last if last is None else last
         pending = self._read("pending", last)
         self._advance(pending.limit(0).drop("_t"), last + 1, flush=True)
 
@@ -96,7 +96,7 @@ class BurstStream:
             ),
             "clock", batch_id,
         )
-        self.flushed = batch_id
+        self.last = batch_id
 
     def findings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/findings")
@@ -202,8 +202,9 @@ class HealthStream:
             .alias("last_failure_reason"),
         )
 
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(_version(self.path, "health", self.last))
+    def current(self, last: int | None = None) -> DataFrame:
+        version = self.last if last is None else last
+        return self.spark.read.parquet(_version(self.path, "health", version))
 
 
 def run(stream: DataFrame, process, checkpoint: str) -> None:
