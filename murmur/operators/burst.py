@@ -108,14 +108,20 @@ def _rule_structs(rules: list[BurstRule]) -> Column:
             F.struct(
                 F.lit(r.rule_id).alias("rule_id"),
                 F.lit(r.window_seconds).cast("long").alias("window_seconds"),
-                F.lit(r.minimum_items).cast("long").alias("minimum_items"),
-                F.lit(r.minimum_accounts).cast("long").alias("minimum_accounts"),
             )
             for r in rules
         ]
     )
 
 
+def _parameter(rules: list[BurstRule], name: str, scale: int = 1) -> Column:
+    """A rule's parameter as a column, looked up by ``rule_no``."""
+    values = [F.lit(getattr(r, name) * scale).cast("long") for r in rules]
+    if len(values) == 1:
+        return values[0]
+    return F.get(F.array(*values), F.col("rule_no"))
+
+
 def cell_of(moment: Column, width: Column) -> Column:
     """Index of the interval of ``width`` that holds ``moment``; exact, never null here."""
     return F.coalesce(
@@ -124,7 +130,7 @@ def cell_of(moment: Column, width: Column) -> Column:
 
 
 def _with_rules(obs: DataFrame, rules: list[BurstRule], columns: list[str]) -> DataFrame:
-    """Each row once per rule (a handful of literals, not a join)."""
+    """Lean rows with ``t`` in microseconds, once per rule (a few literals, not a join)."""
     # A row without tenant, project or time belongs to nobody. Saying so here also keeps the
     # plans of all users of this frame alike, so that their shuffles are shared.
     owned = obs.where(
@@ -132,110 +138,122 @@ def _with_rules(obs: DataFrame, rules: list[BurstRule], columns: list[str]) -> D
         & F.col("project_id").isNotNull()
         & F.col("posted_at").isNotNull()
     )
+    number = F.lit(0)
+    if len(rules) > 1:
+        number = F.explode(F.array(*[F.lit(i) for i in range(len(rules))]))
     return owned.select(
-        *SCOPE, *columns, micros(F.col("posted_at")).alias("t"),
-        F.explode(_rule_structs(rules)).alias("rule"),
-    ).select(
-        *SCOPE,
-        F.col("rule.rule_id").alias("rule_id"),
-        *columns,
-        "t",
-        (F.col("rule.window_seconds") * MICROS).alias("gap"),
-        "rule.minimum_items",
-        "rule.minimum_accounts",
+        *SCOPE, *columns, micros(F.col("posted_at")).alias("t"), number.alias("rule_no")
     )
 
 
+def _rule_id(rules: list[BurstRule]) -> Column:
+    if len(rules) == 1:
+        return F.lit(rules[0].rule_id)
+    return F.get(F.array(*[F.lit(r.rule_id) for r in rules]), F.col("rule_no"))
+
+
 def qualifying_starts(obs: DataFrame, rules: list[BurstRule]) -> DataFrame:
-    """Every moment at which a window would fire: keys, slot, at, counts, gap, slot_length."""
-    length = F.col("gap") * SLOT_WINDOWS
-    shape = ["gap", "minimum_items", "minimum_accounts"]
+    """Every moment at which a window would fire: keys, slot, at, item_count, account_count.
+
+    Rows of one (keys, slot) lie together and in order of ``at``.
+    """
+    gap = _parameter(rules, "window_seconds", MICROS)
+    length = gap * SLOT_WINDOWS
+    scope = [*SCOPE, "rule_no"]
     points = (
         _with_rules(obs, rules, ["account_id"])
-        .groupBy(*KEYS, *shape, "account_id", "t")
+        .groupBy(*scope, "account_id", "t")
         .agg(F.count("*").alias("n"))
         .withColumn("own", cell_of(F.col("t"), length))
     )
     # The previous item of the account matters only within W, so the rows in the last W of a
     # slot are shown to the next slot as context and an account's history is cut per slot.
-    near_end = F.col("t") >= (F.col("own") + 1) * length - F.col("gap")
+    own, t, n = F.col("own"), F.col("t"), F.col("n")
+    near_end = t >= (own + 1) * length - gap
     shown = points.withColumn(
-        "slot",
-        F.explode(
-            F.when(near_end, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
-        ),
+        "slot", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
     )
-    before = F.lag("t").over(Window.partitionBy(*KEYS, "account_id", "slot").orderBy("t"))
+    before = F.lag("t").over(Window.partitionBy(*scope, "account_id", "slot").orderBy("t"))
     spans = (
         shown.withColumn("before", before)
-        .where(F.col("slot") == F.col("own"))
-        .withColumn("opens", F.col("t") - F.col("gap"))
+        .where(F.col("slot") == own)
+        .withColumn("opens", t - gap)
         .withColumn("account_opens", F.greatest("opens", F.col("before") + 1))
         .withColumn("border", F.col("slot") * length)
     )
 
-    def mark(slot, at, items, accounts, is_start=0) -> Column:
+    def mark(slot, at, items=0, accounts=0, items_end=0, accounts_end=0) -> Column:
+        values = {"items": items, "accounts": accounts, "items_end": items_end,
+                  "accounts_end": accounts_end}
         return F.struct(
             slot.alias("slot"),
             at.alias("at"),
-            items.cast("long").alias("items"),
-            accounts.cast("long").alias("accounts"),
-            F.lit(is_start).alias("is_start"),
+            *[
+                (v if isinstance(v, Column) else F.lit(v)).cast("long").alias(k)
+                for k, v in values.items()
+            ],
         )
 
-    zero, one = F.lit(0), F.lit(1)
     slot, border = F.col("slot"), F.col("border")
-    opens, account_opens, t, n = (F.col(c) for c in ("opens", "account_opens", "t", "n"))
-    crosses, account_crosses = opens < border, account_opens < border
+    opens, account_opens = F.col("opens"), F.col("account_opens")
+    together = account_opens == opens
+    first, account_first = F.greatest(opens, border), F.greatest(account_opens, border)
+    same_first = account_first == first
+    one = F.when(together, 1).otherwise(0)
     marks = F.array_compact(
         F.array(
-            mark(slot, F.greatest(opens, border), n, zero),
-            mark(slot, F.greatest(account_opens, border), zero, one),
-            mark(slot, t + 1, -n, -one),
-            mark(slot, t, zero, zero, 1),
-            F.when(crosses, mark(slot - 1, opens, n, zero)),
-            F.when(account_crosses, mark(slot - 1, account_opens, zero, one)),
+            mark(slot, t, items_end=n, accounts_end=1),
+            mark(slot, first, n, F.when(same_first, 1).otherwise(0)),
+            F.when(~same_first, mark(slot, account_first, 0, 1)),
+            F.when(opens < border, mark(slot - 1, opens, n, one)),
+            F.when(~together & (account_opens < border), mark(slot - 1, account_opens, 0, 1)),
         )
     )
+    sums = ["items", "accounts", "items_end", "accounts_end"]
     line = (
-        spans.select(*KEYS, *shape, F.inline(marks))
-        .groupBy(*KEYS, *shape, "slot", "at")
-        .agg(
-            F.sum("items").alias("items"),
-            F.sum("accounts").alias("accounts"),
-            F.max("is_start").alias("is_start"),
-        )
+        spans.select(*scope, F.inline(marks))
+        .groupBy(*scope, "slot", "at")
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
     upto = (
-        Window.partitionBy(*KEYS, "slot")
+        Window.partitionBy(*scope, "slot")
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # What ends at a moment still counts there: opened so far, less what ended before.
     return (
-        line.withColumn("item_count", F.sum("items").over(upto))
-        .withColumn("account_count", F.sum("accounts").over(upto))
+        line.withColumn(
+            "item_count", F.sum(F.col("items") - F.col("items_end")).over(upto)
+            + F.col("items_end"),
+        )
+        .withColumn(
+            "account_count", F.sum(F.col("accounts") - F.col("accounts_end")).over(upto)
+            + F.col("accounts_end"),
+        )
         .where(
-            (F.col("is_start") == 1)
-            & (F.col("item_count") >= F.col("minimum_items"))
-            & (F.col("account_count") >= F.col("minimum_accounts"))
+            (F.col("items_end") > 0)
+            & (F.col("item_count") >= _parameter(rules, "minimum_items"))
+            & (F.col("account_count") >= _parameter(rules, "minimum_accounts"))
+        )
+        .select(
+            *SCOPE,
+            _rule_id(rules).alias("rule_id"),
+            "slot",
+            "at",
+            "item_count",
+            "account_count",
+            gap.alias("gap"),
+            length.alias("slot_length"),
         )
-        .withColumn("slot_length", length)
-        .select(*KEYS, "slot", "at", "item_count", "account_count", "gap", "slot_length",
-                "minimum_items", "minimum_accounts")
     )
 
 
 def burst_starts(
     obs: DataFrame, rules: list[BurstRule] | None = None, covered: DataFrame | None = None
 ) -> DataFrame:
-    """The windows that fire, by start: keys, at (µs), item_count, account_count, gap."""
+    """The windows that fire, by start: keys, at (microseconds), counts, gap."""
     starts = qualifying_starts(obs, rules or [BurstRule()])
-    return choose_spaced(
-        starts,
-        KEYS,
-        keep=["item_count", "account_count", "minimum_items", "minimum_accounts"],
-        covered=covered,
-    )
+    return choose_spaced(starts, KEYS, keep=["item_count", "account_count"], covered=covered)
 
 
 def members(obs: DataFrame, starts: DataFrame, rules: list[BurstRule] | None = None) -> DataFrame:
@@ -245,21 +263,24 @@ def members(obs: DataFrame, starts: DataFrame, rules: list[BurstRule] | None = N
     at most two of them and the range test never multiplies rows; a heavy cell is split by
     the adaptive skew join because each row stands for itself.
     """
+    chosen = rules or [BurstRule()]
     columns = [
         c for c in ("source_id", "content_id", "account_id", "capture_id", "last_capture_id")
         if c in obs.columns
     ]
-    items = _with_rules(obs, rules or [BurstRule()], columns).withColumn(
-        "cell", cell_of(F.col("t"), F.col("gap"))
+    width = _parameter(chosen, "window_seconds", MICROS)
+    items = _with_rules(obs, chosen, columns).select(
+        *SCOPE, _rule_id(chosen).alias("rule_id"), *columns, "t",
+        cell_of(F.col("t"), width).alias("cell"),
     )
     cell = cell_of(F.col("at"), F.col("gap"))
     windows = starts.select(
-        *KEYS, "at", F.explode(F.array(cell, cell + 1)).alias("cell")
+        *KEYS, "at", "gap", F.explode(F.array(cell, cell + 1)).alias("cell")
     )
     return (
         items.join(windows, [*KEYS, "cell"])
         .where((F.col("t") >= F.col("at")) & (F.col("t") <= F.col("at") + F.col("gap")))
-        .select(*KEYS, "at", *columns, "t", "gap", "minimum_items", "minimum_accounts")
+        .select(*KEYS, "at", *columns, "t")
     )
 
 
@@ -280,30 +301,34 @@ def findings(inside: DataFrame, rules: list[BurstRule] | None = None) -> DataFra
     Items, accounts and captures stay in their own tables (:func:`members`,
     :func:`finding_accounts`, :func:`finding_captures`), as they may be many.
     """
+    chosen = rules or [BurstRule()]
     per_account = inside.groupBy(*KEYS, "at", "account_id").agg(
-        F.count("*").alias("n"),
-        F.max("t").alias("last_t"),
-        F.min("source_id").alias("source_id"),
-        F.first("gap").alias("gap"),
-        F.first("minimum_items").alias("minimum_items"),
-        F.first("minimum_accounts").alias("minimum_accounts"),
+        F.count("*").alias("n"), F.max("t").alias("last_t"), F.min("source_id").alias("source_id")
     )
     grouped = per_account.groupBy(*KEYS, "at").agg(
         F.sum("n").alias("item_count"),
         F.count("*").alias("account_count"),
         F.max("last_t").alias("last_t"),
         F.min("source_id").alias("source_id"),
-        F.first("gap").alias("gap"),
-        F.first("minimum_items").alias("minimum_items"),
-        F.first("minimum_accounts").alias("minimum_accounts"),
     )
-    names = F.lit(None).cast("string")
-    for rule in rules or [BurstRule()]:
-        names = F.when(F.col("rule_id") == rule.rule_id, F.lit(rule.name)).otherwise(names)
+
+    def of_rule(value) -> Column:
+        out = F.lit(value(chosen[0]))
+        for rule in chosen[1:]:
+            out = F.when(F.col("rule_id") == rule.rule_id, F.lit(value(rule))).otherwise(out)
+        return out
+
+    grouped = grouped.select(
+        "*",
+        of_rule(lambda r: r.window_seconds).alias("window_seconds"),
+        of_rule(lambda r: r.minimum_items).alias("minimum_items"),
+        of_rule(lambda r: r.minimum_accounts).alias("minimum_accounts"),
+        of_rule(lambda r: r.name).alias("rule_name"),
+    )
     return grouped.select(
         finding_id().alias("finding_id"),
         *KEYS,
-        names.alias("rule_name"),
+        "rule_name",
         "source_id",
         from_micros(F.col("at")).alias("window_start"),
         from_micros(F.col("last_t")).alias("window_end"),
@@ -327,7 +352,7 @@ def signals() -> Column:
         )
 
     span = (F.col("last_t") - F.col("at")) / F.lit(MICROS)
-    width = F.col("gap") / F.lit(MICROS)
+    width = F.col("window_seconds")
     # Names and descriptions that appear in stored findings.
     return F.array(
         signal(

@@ -17,6 +17,8 @@ moments.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +49,19 @@ def _steps(points: np.ndarray, gap: int, slot_start: int) -> tuple[np.ndarray, n
     return bounds[keep], exits[keep]
 
 
+def _groups(columns: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal key values in a sorted batch."""
+    size = len(columns[0])
+    if size == 0:
+        return []
+    change = np.zeros(size, dtype=bool)
+    change[0] = True
+    for values in columns:
+        change[1:] |= values[1:] != values[:-1]
+    starts = np.flatnonzero(change)
+    return list(zip(starts, np.append(starts[1:], size), strict=True))
+
+
 def choose_spaced(
     points: DataFrame,
     keys: list[str],
@@ -62,37 +77,55 @@ def choose_spaced(
     ``points`` has one row per moment, with ``slot`` = floor(at / slot_length) and
     ``slot_length`` >= ``gap``, all longs; ``gap`` and ``slot_length`` are constant per
     key. ``covered`` (keys, covered_until) carries the state on from an earlier run.
+
+    The points of a slot are read in order and streamed: step 1 holds one slot's moments,
+    step 3 one number.
     """
     group = [*keys, slot]
     fields = {f.name: f for f in points.schema.fields}
-    key_fields = [fields[k] for k in keys]
+    key_fields = [T.StructField(k, fields[k].dataType) for k in keys]
     slot_field = T.StructField(slot, T.LongType())
-    payload = [at, *(keep or []), gap, slot_length]
-    lean = points.select(*group, *payload)
+    payload = [at, *(keep or []), gap]
+    lean = points.select(*group, *payload, slot_length)
+    if covered is not None:
+        # What an earlier run covered cannot be taken; after that the rule starts afresh.
+        lean = (
+            lean.join(covered.select(*keys, "covered_until"), keys, "left")
+            .where(F.col(at) > F.coalesce("covered_until", F.lit(NEVER)))
+            .drop("covered_until")
+        )
 
     step_schema = T.StructType(
         [*key_fields, slot_field, T.StructField("below", T.LongType()),
          T.StructField("leaves", T.LongType())]
     )
 
-    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        moments = np.sort(pdf[at].to_numpy())
-        below, leaves = _steps(
-            moments, int(pdf[gap].iloc[0]), int(key[-1]) * int(pdf[slot_length].iloc[0])
-        )
-        out = pd.DataFrame({slot: int(key[-1]), "below": below, "leaves": leaves})
-        for position, name in enumerate(keys):
-            out[name] = key[position]
-        return out[step_schema.names]
-
-    functions = lean.groupBy(*group).applyInPandas(steps, step_schema)
-    if covered is not None:
-        functions = functions.join(
-            covered.select(*keys, F.col("covered_until")), keys, "left"
-        ).withColumn("covered_until", F.coalesce("covered_until", F.lit(NEVER)))
-    else:
-        functions = functions.withColumn("covered_until", F.lit(NEVER))
-
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, parts, width, start = None, [], 0, 0
+
+        def close() -> list[tuple]:
+            below, leaves = _steps(np.concatenate(parts), width, start)
+            return [(*current, b, x) for b, x in zip(below.tolist(), leaves.tolist(), strict=True)]
+
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = [batch[c].to_numpy() for c in group]
+            moments = batch[at].to_numpy()
+            for lo, hi in _groups(columns):
+                name = tuple(c[lo] for c in columns)
+                if name != current:
+                    if current is not None:
+                        rows += close()
+                    current, parts = name, []
+                    width = int(batch[gap].iat[lo])
+                    start = int(name[-1]) * int(batch[slot_length].iat[lo])
+                parts.append(moments[lo:hi])
+            yield pd.DataFrame(rows, columns=step_schema.names)
+        if current is not None:
+            yield pd.DataFrame(close(), columns=step_schema.names)
+
+    ordered = lean.repartition(*group).sortWithinPartitions(*group, at)
+    functions = ordered.select(*group, at, gap, slot_length).mapInPandas(steps, step_schema)
     entry_schema = T.StructType([*key_fields, slot_field, T.StructField("state", T.LongType())])
 
     def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +134,7 @@ def choose_spaced(
         below, leaves = pdf["below"].to_numpy(), pdf["leaves"].to_numpy()
         names, starts = np.unique(slots, return_index=True)
         ends = np.append(starts[1:], len(slots))
-        state = int(pdf["covered_until"].iloc[0])
+        state = NEVER
         states = np.empty(len(names), dtype=np.int64)
         for i, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
             states[i] = state
@@ -116,18 +149,37 @@ def choose_spaced(
     on_entry = functions.groupBy(*keys).applyInPandas(entries, entry_schema)
 
     chosen_schema = T.StructType(
-        [*key_fields, slot_field, *[fields[name] for name in payload]]
+        [*key_fields, slot_field, *[T.StructField(n, fields[n].dataType) for n in payload]]
     )
 
-    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        moments = pdf[at].to_numpy()
-        step, state = int(pdf[gap].iloc[0]), int(pdf["state"].iloc[0])
-        taken = []
-        index = int(np.searchsorted(moments, state, side="right"))
-        while index < len(moments):
-            taken.append(index)
-            index = int(np.searchsorted(moments, moments[index] + step, side="right"))
-        return pdf.iloc[taken][chosen_schema.names]
-
-    return lean.join(on_entry, group).groupBy(*group).applyInPandas(choose, chosen_schema)
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, NEVER
+        for batch in batches:
+            taken: list[int] = []
+            columns = [batch[c].to_numpy() for c in group]
+            moments, gaps = batch[at].to_numpy(), batch[gap].to_numpy()
+            marks = batch["state"].to_numpy()
+            for lo, hi in _groups(columns):
+                name = tuple(c[lo] for c in columns)
+                if name != current:
+                    # The state on entry sorts before the slot's points.
+                    current, state = name, int(marks[lo])
+                    lo += 1
+                index = lo + int(np.searchsorted(moments[lo:hi], state, side="right"))
+                while index < hi:
+                    taken.append(index)
+                    state = int(moments[index] + gaps[index])
+                    index += int(np.searchsorted(moments[index:hi], state, side="right"))
+            yield batch.iloc[taken][chosen_schema.names]
+
+    zero = {n: F.lit(0).cast(fields[n].dataType) for n in [*(keep or []), gap]}
+    markers = on_entry.select(
+        *group, F.lit(NEVER).alias(at), *[v.alias(n) for n, v in zero.items()], "state"
+    )
+    return (
+        lean.select(*group, *payload, F.lit(0).cast("long").alias("state"))
+        .unionByName(markers)
+        .repartition(*group)
+        .sortWithinPartitions(*group, at)
+        .mapInPandas(choose, chosen_schema)
+    )

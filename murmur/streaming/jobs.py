@@ -73,7 +73,7 @@ class BurstStream:
         decided = burst.qualifying_starts(rows.drop("_t"), rules).where(F.col("at") <= final)
         starts = choose_spaced(
             decided, KEYS,
-            keep=["item_count", "account_count", "minimum_items", "minimum_accounts"],
+            keep=["item_count", "account_count"],
             covered=cover,
         )
         self._write(starts, "starts", batch_id)
