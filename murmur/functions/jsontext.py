@@ -6,6 +6,7 @@ are put together from their parts. A part is a string column holding JSON text.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -19,24 +20,43 @@ RARE_ESCAPES = {"\b": "\\b", "\f": "\\f"}
 RARE_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
-def string(value: Column) -> Column:
-    """A quoted JSON string, non-ASCII kept; null becomes ``null``."""
+def string(value: Column, ascii_only: bool = False) -> Column:
+    """A quoted JSON string; null becomes ``null``. Non-ASCII is kept unless ``ascii_only``."""
     safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for char, escape in COMMON_ESCAPES.items():
         safe = F.replace(safe, F.lit(char), F.lit(escape))
-    spelled = F.array(*[F.lit(RARE_ESCAPES.get(chr(c), f"\\u{c:04x}")) for c in range(32)])
+    names = [RARE_ESCAPES.get(chr(c), f"\\u{c:04x}") for c in range(32)]
+    spelled = F.split(F.lit(",".join(names)), ",")
 
     def escaped(char: Column) -> Column:
         control = (F.length(char) > 0) & (F.ascii(char) < 32)
-        return F.when(control, F.get(spelled, F.ascii(char))).otherwise(char)
+        kept = _unicode_escape(char) if ascii_only else char
+        return F.when(control, F.get(spelled, F.ascii(char))).otherwise(kept)
 
-    # Only texts with a rare control character are walked character by character.
+    # Only texts with such a character are walked character by character.
+    unusual = value.rlike(RARE_CONTROLS + (r"|[^\x00-\x7f]" if ascii_only else ""))
     body = F.when(
-        value.rlike(RARE_CONTROLS), F.array_join(F.transform(F.split(safe, ""), escaped), "")
+        unusual, F.array_join(F.transform(F.split(safe, ""), escaped), "")
     ).otherwise(safe)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 
+def _unicode_escape(char: Column) -> Column:
+    """``\\uXXXX`` for a non-ASCII character (a surrogate pair above U+FFFF)."""
+    code = F.ascii(char)
+
+    def unit(value: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(value), 4, "0")))
+
+    high = F.lit(0xD800) + F.floor((code - 0x10000) / 0x400).cast("int")
+    low = F.lit(0xDC00) + F.pmod(code - 0x10000, F.lit(0x400))
+    return (
+        F.when(code < 0x80, char)
+        .when(code < 0x10000, unit(code))
+        .otherwise(F.concat(unit(high), unit(low)))
+    )
+
+
 def integer(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("null"))
 
@@ -63,26 +83,6 @@ def obj(fields: Mapping[str, Column]) -> Column:
     return F.concat(*pieces, F.lit("}"))
 
 
-def text(value: str) -> Column:
+def text(value: str, ascii_only: bool = False) -> Column:
     """A constant string."""
-    return string(F.lit(value))
-
-
-def escape_non_ascii(document: Column) -> Column:
-    """Replace every non-ASCII character by ``\\uXXXX`` (a surrogate pair above U+FFFF)."""
-
-    def unit(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
-    def escaped(char: Column) -> Column:
-        code = F.ascii(char)
-        high = F.lit(0xD800) + F.floor((code - 0x10000) / 0x400).cast("int")
-        low = F.lit(0xDC00) + F.pmod(code - 0x10000, F.lit(0x400))
-        return (
-            F.when(code < 0x80, char)
-            .when(code < 0x10000, unit(code))
-            .otherwise(F.concat(unit(high), unit(low)))
-        )
-
-    spelled = F.array_join(F.transform(F.split(document, ""), escaped), "")
-    return F.when(document.rlike(r"[^\x00-\x7f]"), spelled).otherwise(document)
+    return F.lit(json.dumps(value, ensure_ascii=ascii_only))

@@ -49,17 +49,17 @@ class BurstStream:
     def flush(self, last: int | None = None) -> None:
         """Decide what is still open after batch ``last``; for the end of a bounded stream."""
         last = self.last if last is None else last
-        pending = self._read("pending", last)
-        self._advance(pending.limit(0).drop("_t"), last + 1, flush=True)
+        nothing = self._read("open", last).limit(0).drop("_t")
+        self._advance(nothing, last + 1, flush=True)
 
     def _advance(self, batch: DataFrame, batch_id: int, flush: bool) -> None:
         new = batch.withColumn("_t", micros(F.col("posted_at")))
         before, rows, cover = NEVER, new, None
         if batch_id > 0:
-            before = self._read("clock", batch_id - 1).first().watermark
-            rows = new.where(F.col("_t") > before).unionByName(
-                self._read("pending", batch_id - 1)
-            )
+            clock = self._read("clock", batch_id - 1).first()
+            before = clock.watermark
+            undecided = self._read("open", batch_id - 1).where(F.col("_t") > clock.final)
+            rows = new.where(F.col("_t") > before).unionByName(undecided)
             cover = self._read("cover", batch_id - 1)
         seen = new.agg(F.max("_t").alias("m"), F.count_if(F.col("_t") <= before).alias("late"))
         seen = seen.first()
@@ -70,15 +70,16 @@ class BurstStream:
         final = watermark - self.gap
 
         rules = [self.rule]
-        decided = burst.qualifying_starts(rows.drop("_t"), rules).where(F.col("at") <= final)
+        # Written once; every step below reads this version.
+        self._write(rows, "open", batch_id)
+        rows = self._read("open", batch_id)
+        decided = burst.qualifying_starts(rows, rules).where(F.col("at") <= final)
         starts = choose_spaced(
-            decided, KEYS,
-            keep=["item_count", "account_count"],
-            covered=cover,
+            decided, KEYS, keep=["item_count", "account_count"], covered=cover
         )
         self._write(starts, "starts", batch_id)
         starts = self._read("starts", batch_id)
-        inside = burst.members(rows.drop("_t"), starts, rules)
+        inside = burst.members(rows, starts, rules)
         self._write(burst.findings(inside, rules), "findings", batch_id)
         ends = starts.select(*KEYS, (F.col("at") + F.col("gap")).alias("covered_until"))
         if cover is not None:
@@ -87,11 +88,11 @@ class BurstStream:
             ends.groupBy(*KEYS).agg(F.max("covered_until").alias("covered_until")),
             "cover", batch_id,
         )
-        self._write(rows.where(F.col("_t") > final), "pending", batch_id)
         # The clock is written last: a version without it is incomplete and done again.
         self._write(
             self.spark.range(1).select(
                 F.lit(watermark).cast("long").alias("watermark"),
+                F.lit(final).cast("long").alias("final"),
                 F.lit(seen.late).cast("long").alias("late"),
             ),
             "clock", batch_id,

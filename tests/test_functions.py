@@ -89,7 +89,7 @@ def test_script(spark):
 def test_json_text_is_what_python_writes(spark):
     kept = column(spark, TEXTS, jsontext.string)
     assert kept == [json.dumps(t, ensure_ascii=False) for t in TEXTS]
-    escaped = column(spark, TEXTS, lambda c: jsontext.escape_non_ascii(jsontext.string(c)))
+    escaped = column(spark, TEXTS, lambda c: jsontext.string(c, ascii_only=True))
     assert escaped == [json.dumps(t) for t in TEXTS]
 
 
