@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from murmur.llm import packing, simhash
+from murmur.llm import hostrules, language, packing, quality, secrets, simhash, sitetree
 from murmur.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +41,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_bidirectional_gru_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_host_level_rules", hostrules.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and the verdict with its host's."""
+    return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@query("op8_grammar_inference_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_byte_cnn_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_site_style_tree")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitetree.extract(table(spark, sf_dir, "pages"))
