@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import hostrules, language, packing, quality, secrets, simhash, sitetree
+from murmur.llm import hostrules, language, latent, packing, quality, secrets, simhash, sitetree
 from murmur.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+@query("op7_latent_semantic_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the evidence."""
+    return latent.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_grammar_inference_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
