@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import hostrules, language, latent, packing, quality, secrets, simhash, sitetree
+from murmur.llm import hostrules, language, latent, packing, quality, quotes, secrets, simhash, sitetree, surrogates
 from murmur.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as mails, linked by what they quote, without the quotes."""
+    return quotes.conversations(quotes.as_mails(table(spark, sf_dir, "conversations")))
+
+
 @query("op2_sum_of_squares_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
@@ -43,6 +49,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 @query("op5_bidirectional_gru_language")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
