@@ -37,6 +37,8 @@ BLOCK = 2048
 #: More languages than this are refused.
 LANGUAGES = 256
 UNKNOWN = "und"
+#: Documents whose best language has less than this are rejected by the filter.
+SURE = 0.4
 
 PREDICTIONS = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())]
@@ -272,6 +274,34 @@ def fit(docs: DataFrame) -> Gru:
     return train(rows[pick], labels[pick], languages)
 
 
+def judged(model: Gru, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of every text."""
+    known = [has_letter(t) for t in texts]
+    guess, score = [UNKNOWN] * len(texts), [0.0 if k else 1.0 for k in known]
+    if model.languages and any(known):
+        p = model.probabilities([as_bytes(t) if k else as_bytes("") for t, k in zip(texts, known, strict=True)])
+        best = p.argmax(axis=1)
+        for i in np.flatnonzero(known).tolist():
+            guess[i] = model.languages[best[i]]
+            score[i] = min(1.0, max(0.0, float(p[i, best[i]])))
+    return guess, score
+
+
+def keep(docs: DataFrame, model: Gru | None = None, sure: float = SURE) -> DataFrame:
+    """Rows of ``docs``, as they are, whose language is recognised with a score of ``sure``."""
+    model = model or fit(docs)
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            guess, score = judged(model, rows.column(at).to_pylist())
+            good = [g != UNKNOWN and s >= sure for g, s in zip(guess, score, strict=True)]
+            yield rows.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Gru | None = None) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every row."""
     model = model or fit(docs)
@@ -279,16 +309,7 @@ def identify(docs: DataFrame, model: Gru | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = rows.column("text").to_pylist()
-            known = [has_letter(t) for t in texts]
-            guess, score = [UNKNOWN] * len(texts), [1.0 if not k else 0.0 for k in known]
-            if model.languages and any(known):
-                p = model.probabilities([as_bytes(t) if k else as_bytes("") for t, k in zip(texts, known, strict=True)])
-                best = p.argmax(axis=1)
-                for i, k in enumerate(known):
-                    if k:
-                        guess[i] = model.languages[best[i]]
-                        score[i] = min(1.0, max(0.0, float(p[i, best[i]])))
+            guess, score = judged(model, rows.column("text").to_pylist())
             yield batch(
                 PREDICTIONS,
                 {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "lang_pred": guess, "score": score},

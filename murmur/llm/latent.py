@@ -137,7 +137,7 @@ def transposed_product(matrix: DataFrame, right: np.ndarray, left: np.ndarray |
             {"block": [lo // TERMS for lo in blocks], "sums": [total[lo : lo + TERMS].tobytes() for lo in blocks]}
         )
 
-    def add(key, part: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, dtype=np.float64) for b in part["sums"])
         return pd.DataFrame({"block": [key[0]], "sums": [total.tobytes()]})
 
@@ -370,3 +370,20 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_chars:
         found = documents(docs).mapInArrow(run, HITS_DDL)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], HITS_DDL) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs``, as they are, that hold no item."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    out = docs
+    for passages in blocks_of(benchmark, block_chars):
+        index = build(docs, passages, rank)
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                good = [not search_text(index, t) for t in rows.column(at).to_pylist()]
+                yield rows.filter(pa.array(good, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

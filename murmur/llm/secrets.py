@@ -312,18 +312,27 @@ def masked(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with secrets masked in ``text``; null text stays null."""
+    """All rows and columns of ``docs`` with secrets masked in ``text``; null text stays null.
+
+    ``n_chars``, where there is one of a number type, follows a text that changes.
+    """
     model = model or learn(credentials(docs))
     small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
+    size = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = [
-                None if t is None else masked(t, spans(t, model)[1]) for t in rows.column(at).to_pylist()
-            ]
-            columns = [*rows.columns[:at], pa.array(texts, pa.string()), *rows.columns[at + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+            columns, texts = list(rows.columns), rows.column(at).to_pylist()
+            found = [[] if t is None else spans(t, model)[1] for t in texts]
+            new = [masked(t, f) if f else t for t, f in zip(texts, found, strict=True)]
+            columns[at] = pa.array(new, columns[at].type)
+            if size is not None:
+                sizes = columns[size].to_pylist()
+                columns[size] = pa.array(
+                    [len(t) if f else n for t, f, n in zip(new, found, sizes, strict=True)], columns[size].type
+                )
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return docs.mapInArrow(run, docs.schema)
