@@ -124,21 +124,23 @@ def trees(replies: DataFrame, name: str = "quotes") -> DataFrame:
         replies.select(
             "conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"),
             F.col("reply_to").isNotNull().cast("long").alias("depth"),
+            F.col("reply_to").isNull().alias("done"),
         ),
         f"{name}-tree",
     )
     for _ in range(ROUNDS):
-        above = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        after = materialise(
-            # a tree's first message points at itself, so it needs no join
-            state.where("depth > 0").join(above, ["conv_id", "root"]).select(
-                "conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")
-            ).union(state.where("depth = 0").select("conv_id", "turn", "root", "depth", F.lit(False))),
+        if state.where("not done").limit(1).count() == 0:
+            return state.drop("done")
+        above = state.select(
+            "conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended")
+        )
+        # messages that know their tree's first one need no join
+        state = materialise(
+            state.where("not done").join(above, ["conv_id", "root"]).select(
+                "conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done")
+            ).union(state.where("done")),
             f"{name}-tree",
         )
-        state = after.drop("moved")
-        if after.where("moved").limit(1).count() == 0:
-            return state
     raise RuntimeError("reply chains did not settle")
 
 
