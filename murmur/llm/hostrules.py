@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import batch, small_batches
+from murmur.session import materialise
 
 WINDOW = 3
 MIN_WORDS = 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WHITE = " \t\n\r\x0b\x0c"
 HOST_LIMIT = 0.5
+#: Hosts whose verdicts (some 50 bytes each) are broadcast; beyond, a shuffle join.
+BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -128,12 +131,14 @@ def hosts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """Measures of every row with ``base_failed``, the host's shrunk rate and ``kept``."""
-    from murmur.session import materialise
-
     measured = materialise(measures(docs), "host-measures")
-    verdicts = hosts(measured, limit).select("host", F.col("rate").alias("host_rate"), "rejected")
+    verdicts = materialise(
+        hosts(measured, limit).select("host", F.col("rate").alias("host_rate"), "rejected"), "host-verdicts"
+    )
+    if verdicts.count() <= broadcast_hosts:
+        verdicts = F.broadcast(verdicts)
     return measured.join(verdicts, "host").select(
         "doc_id",
         *FIELDS[:-1],
