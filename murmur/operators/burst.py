@@ -398,9 +398,30 @@ def finding_captures(inside: DataFrame) -> DataFrame:
 
 
 def detect(obs: DataFrame, rules: list[BurstRule] | None = None) -> DataFrame:
-    """Observations to findings in one call."""
+    """Observations to findings in one call.
+
+    The job fails if a scope's timestamps are too coarse for a rule; the check is part of the
+    plan and costs one small aggregate.
+    """
     chosen = rules or [BurstRule()]
-    return findings(members(obs, burst_starts(obs, chosen), chosen), chosen)
+    found = findings(members(obs, burst_starts(obs, chosen), chosen), chosen)
+    if "timestamp_precision" not in obs.columns:
+        return found
+    return found.unionByName(_refusal(obs, chosen, found))
+
+
+def _refusal(obs: DataFrame, rules: list[BurstRule], like: DataFrame) -> DataFrame:
+    """No rows, or an error for the first refused scope. A filter, so that nothing prunes it."""
+    message = F.concat(
+        F.lit("window of "), F.col("window_seconds").cast("string"),
+        F.lit("s is too narrow for timestamps that step by "),
+        F.col("floor_seconds").cast("string"), F.lit("s (project "),
+        F.coalesce("project_id", F.lit("none")), F.lit(")"),
+    )
+    refused = precision_guard(obs, rules).where(
+        F.when(~F.col("accepted"), F.raise_error(message).cast("boolean")).otherwise(F.lit(False))
+    )
+    return refused.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
 def diagnostics(obs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,13 @@ class ChainFormat:
 
     tag: str
     fields: tuple[str, ...]
+    #: Fields that have to be SHA-256 digests in lower-case hexadecimal.
+    digests: tuple[str, ...] = ()
 
 
-EVIDENCE = ChainFormat("evidence-chain-v1", ("manifest_sha256", "bundle_id"))
+EVIDENCE = ChainFormat(
+    "evidence-chain-v1", ("manifest_sha256", "bundle_id"), digests=("manifest_sha256",)
+)
 #: ``reason`` is explanatory text and not hashed.
 AUDIT = ChainFormat(
     "audit-chain-v1",
@@ -61,9 +65,19 @@ def entry_digest(fmt: ChainFormat):
     )
 
 
-def refused_entries(rows: DataFrame) -> DataFrame:
-    """Bundles whose manifest digest is malformed; they never enter the chain."""
-    return rows.where(~text.is_digest(F.col("manifest_sha256")))
+def acceptable(fmt: ChainFormat) -> Column:
+    """A tenant and all hashed fields are there, and digests have the form of one."""
+    out = F.col("tenant_id").isNotNull()
+    for field in fmt.fields:
+        out = out & F.col(field).isNotNull()
+        if field in fmt.digests:
+            out = out & text.is_digest(F.col(field))
+    return F.coalesce(out, F.lit(False))
+
+
+def refused_entries(rows: DataFrame, fmt: ChainFormat | None = None) -> DataFrame:
+    """Rows that never enter the chain: a hashed field is missing, or no digest."""
+    return rows.where(~acceptable(fmt or EVIDENCE))
 
 
 def append(
@@ -74,9 +88,9 @@ def append(
     Each hash needs the one before, so a tenant's new rows are hashed one after the other.
     That is what the chain is for and cannot be split; but the fold streams over a sorted
     partition with constant memory, takes only the rows that are new, and carries just the
-    hashed fields.
+    hashed fields. Rows of :func:`refused_entries` are left out, never linked.
     """
-    lean = rows.select("tenant_id", *order, *[f for f in fmt.fields if f not in order])
+    lean = rows.where(acceptable(fmt)).select("tenant_id", *order, *[f for f in fmt.fields if f not in order])
     if heads is not None:
         lean = lean.join(
             heads.select(
@@ -150,14 +164,16 @@ def verify(entries: DataFrame, fmt: ChainFormat) -> DataFrame:
     previous = F.col("previous")
     first = previous.isNull()
     # The recomputed hash belongs to the row, so it is not carried through the shuffle.
+    # What cannot be checked, as a field is missing, is not sound.
+    sound = lambda condition: F.coalesce(condition, F.lit(False))
+    starts = F.col("chain_index").isNotNull() & F.col("prev_hash").isNotNull()
     checked = rows.select(
         *entries.columns,
-        (F.col("entry_hash") == entry_digest(fmt)).alias("hash_ok"),
-        (~first | (F.col("chain_index") != 0) | (F.col("prev_hash") == GENESIS)).alias(
-            "genesis_ok"
-        ),
-        (first | (F.col("chain_index") == previous["chain_index"] + 1)).alias("index_ok"),
-        (first | (F.col("prev_hash") == previous["entry_hash"])).alias("link_ok"),
+        sound(F.col("entry_hash") == entry_digest(fmt)).alias("hash_ok"),
+        sound(~first | (starts & (F.col("chain_index") != 0)) | (F.col("prev_hash") == GENESIS))
+        .alias("genesis_ok"),
+        sound(first | (F.col("chain_index") == previous["chain_index"] + 1)).alias("index_ok"),
+        sound(first | (F.col("prev_hash") == previous["entry_hash"])).alias("link_ok"),
         previous["chain_index"].alias("previous_index"),
     )
     problems = F.array_compact(

@@ -108,13 +108,10 @@ def close_jobs(events: DataFrame) -> DataFrame:
 
 
 def recent_jobs(jobs: DataFrame, sources: DataFrame, limit: int = 50) -> DataFrame:
+    """Newest jobs with the name of their source; every job has one, so the limit comes first."""
     names = sources.select("source_id", F.col("name").alias("source_name"))
-    newest = (
-        jobs.join(names.select("source_id"), "source_id", "left_semi")
-        .orderBy(F.desc("scheduled_for"), F.desc("job_id"))
-        .limit(limit)
-    )
-    return newest.join(names, "source_id")
+    newest = jobs.orderBy(F.desc("scheduled_for"), F.desc("job_id")).limit(limit)
+    return newest.join(names, "source_id", "left")
 
 
 def newest(table: DataFrame, column: str, tie: str, limit: int) -> DataFrame:

@@ -7,14 +7,15 @@ the batch touches need to be rewritten (:func:`touched_months`).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.extract import EXTRACTOR_VERSION
 
-CONTENT_KEY = ["content_id", "posted_at"]
+#: Ids carry no tenant, so two tenants may hold the same public item.
+CONTENT_KEY = ["tenant_id", "content_id", "posted_at"]
 FIRST_ONLY = [
-    "tenant_id", "source_id", "account_id", "capture_id", "trace_id", "posted_at_raw",
+    "source_id", "account_id", "capture_id", "trace_id", "posted_at_raw",
     "timestamp_precision", "text", "text_sha256", "extractor_version", "script",
 ]
 LATEST = ["last_seen", "last_capture_id", "last_trace_id"]
@@ -27,7 +28,8 @@ def merge_accounts(stored: DataFrame | None, seen: DataFrame) -> DataFrame:
     the processing order. ``last_seen`` is that of the last processed sighting, which need
     not be the largest.
     """
-    first = ["tenant_id", "platform", "handle", "display_name", "first_seen"]
+    key = ["tenant_id", "account_id"]
+    first = ["platform", "handle", "display_name", "first_seen"]
     new = seen.select(
         "account_id", "tenant_id", "platform", "handle", "display_name",
         F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"),
@@ -37,14 +39,14 @@ def merge_accounts(stored: DataFrame | None, seen: DataFrame) -> DataFrame:
     if stored is not None:
         order = seen.schema["seq"].dataType
         rows = new.unionByName(
-            stored.select("account_id", *first, "last_seen").withColumn("era", F.lit(0))
+            stored.select(*key, *first, "last_seen").withColumn("era", F.lit(0))
             .withColumn("seq", F.lit(None).cast(order))
         )
     order = F.struct("era", "seq")
-    return rows.groupBy("account_id").agg(
+    return rows.groupBy(*key).agg(
         F.min_by(F.struct(*first), order).alias("f"),
         F.max_by("last_seen", order).alias("last_seen"),
-    ).select("account_id", "f.*", "last_seen")
+    ).select(*key, "f.*", "last_seen")
 
 
 def merge_content(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -105,7 +107,8 @@ def reprocess_outcomes(stored: DataFrame, parsed: DataFrame) -> DataFrame:
 
     ``parsed`` has tenant_id, capture_id, content_id, posted_at, text, text_sha256, script,
     timestamp_precision and extractor_version. Outcomes: unknown, needs_migration, updated,
-    unchanged.
+    unchanged. An item that its capture lists more than once (column ``ordinal``, if there is
+    one, tells the order) is updated by its first reading; the others find it up to date.
     """
     old = stored.where(F.col("deleted_at").isNull()).select(
         "tenant_id",
@@ -120,18 +123,31 @@ def reprocess_outcomes(stored: DataFrame, parsed: DataFrame) -> DataFrame:
         .when(F.col("stored_version") < F.col("extractor_version"), F.lit("updated"))
         .otherwise(F.lit("unchanged"))
     )
-    return parsed.join(old, ["tenant_id", "capture_id", "content_id"], "left").withColumn(
+    found = parsed.join(old, ["tenant_id", "capture_id", "content_id"], "left").withColumn(
         "outcome", outcome
     )
+    # readings of one item; a capture lists it once as a rule
+    item = ["tenant_id", "capture_id", "content_id", "posted_at"]
+    order = F.col("ordinal") if "ordinal" in parsed.columns else F.xxhash64(*parsed.columns)
+    turn = F.row_number().over(Window.partitionBy(*item).orderBy(order))
+    later = (F.col("outcome") == "updated") & (F.col("turn") > 1)
+    return (
+        found.withColumn("turn", turn)
+        .withColumn("outcome", F.when(later, F.lit("unchanged")).otherwise(F.col("outcome")))
+        .withColumn("reading", F.col("turn"))
+        .drop("turn")
+    )
 
 
 def apply_reprocessing(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Write the newer reading over the older one; identity columns stay."""
     changed = ["text", "text_sha256", "script", "timestamp_precision", "extractor_version"]
-    new = outcomes.where(F.col("outcome") == "updated").select(
-        "tenant_id", *CONTENT_KEY, F.struct(*changed).alias("new")
+    new = (
+        outcomes.where(F.col("outcome") == "updated")
+        .groupBy(*CONTENT_KEY)
+        .agg(F.min_by(F.struct(*changed), F.struct("capture_id", "reading")).alias("new"))
     )
-    joined = stored.join(new, ["tenant_id", *CONTENT_KEY], "left")
+    joined = stored.join(new, CONTENT_KEY, "left")
     return joined.select(
         *[
             F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
@@ -205,17 +221,16 @@ def expired(table: DataFrame, tenants: DataFrame, now: Column, ts: str = "captur
 def recent(content: DataFrame, accounts: DataFrame, limit: int = 100) -> DataFrame:
     """Newest live items with their author; the id breaks ties.
 
-    The top rows are taken before the join. An item without an account is dropped by the
-    inner join, so the cut is only early when every item has one; hence the semi join.
+    Every item has an account (see :func:`murmur.operators.quality.orphans`), so the top rows
+    are taken first and only they meet the accounts; an item without one keeps null names.
     """
-    names = accounts.select("account_id", "handle", "display_name")
+    key = ["tenant_id", "account_id"]
     newest = (
         content.where(F.col("deleted_at").isNull())
-        .join(names.select("account_id"), "account_id", "left_semi")
         .orderBy(F.desc("posted_at"), F.desc("content_id"))
         .limit(limit)
     )
-    return newest.join(names, "account_id")
+    return newest.join(accounts.select(*key, "handle", "display_name"), key, "left")
 
 
 def counts(content: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -131,13 +131,48 @@ MANIFEST_SCHEMA = (
 
 
 def parse_manifests(documents: DataFrame, spec: str = MANIFEST_SPEC) -> DataFrame:
-    """Add ``m``, the parsed manifest; null when unreadable or of an unknown kind."""
+    """Add ``m``, the parsed manifest; null when unreadable, incomplete or of an unknown kind."""
     parsed = F.from_json("manifest", MANIFEST_SCHEMA)
     return documents.withColumn("m", parsed).withColumn(
-        "m", F.when(F.col("m.spec") == spec, F.col("m"))
+        "m", F.when(complete_manifest(F.col("m"), spec), F.col("m"))
     )
 
 
+def _all_there(record: Column, *fields: str) -> Column:
+    out = F.lit(True)
+    for field in fields:
+        value = record
+        for step in field.split("."):
+            value = value[step]
+        out = out & value.isNotNull()
+    return out
+
+
+def complete_manifest(m: Column, spec: str = MANIFEST_SPEC) -> Column:
+    """The kind is known and every field that the checks rely on is there."""
+    return F.coalesce(
+        (m["spec"] == spec)
+        & _all_there(
+            m, "hash_algorithm", "artifacts", "capture.bundle_id", "capture.tenant_id",
+            "capture.capture_id", "capture.source_url", "capture.captured_at",
+        )
+        & F.forall(m["artifacts"], lambda a: a["name"].isNotNull() & a["sha256"].isNotNull()),
+        F.lit(False),
+    )
+
+
+def complete_seal(s: Column) -> Column:
+    return _all_there(
+        s, "manifest_sha256", "chain.preimage_version", "chain.algorithm", "chain.tenant_id",
+        "chain.chain_index", "chain.prev_hash", "chain.bundle_id", "chain.entry_hash",
+    )
+
+
+def differs(a: Column, b: Column) -> Column:
+    """True unless both are known and equal."""
+    return ~F.coalesce(a == b, F.lit(False))
+
+
 def compare_artifacts(listed: DataFrame, observed: DataFrame) -> DataFrame:
     """Both directions and the digests: missing, unlisted, mismatch. Only differences remain.
 
@@ -177,19 +212,24 @@ def manifest_checks(
         .groupBy("tenant_id", "bundle_id")
         .agg(F.count("*").alias("differing"))
     )
+    read = F.col("m").isNotNull()
     flags = F.array_compact(
         F.array(
             F.when(F.col("manifest").isNull(), F.lit("archive unreadable")),
             F.when(
-                text.text_digest(F.col("manifest")) != F.col("manifest_sha256"),
+                F.col("manifest").isNotNull()
+                & differs(text.text_digest(F.col("manifest")), F.col("manifest_sha256")),
                 F.lit("manifest digest differs"),
             ),
             F.when(
                 F.col("manifest").isNotNull() & F.col("m").isNull(), F.lit("manifest unreadable")
             ),
-            F.when(F.col("m.hash_algorithm") != chain.ALGORITHM, F.lit("unexpected algorithm")),
-            F.when(F.col("m.capture.bundle_id") != F.col("bundle_id"), F.lit("other bundle")),
-            F.when(F.col("m.capture.source_url") != F.col("source_url"), F.lit("other address")),
+            F.when(read & differs(F.col("m.hash_algorithm"), F.lit(chain.ALGORITHM)),
+                   F.lit("unexpected algorithm")),
+            F.when(read & differs(F.col("m.capture.bundle_id"), F.col("bundle_id")),
+                   F.lit("other bundle")),
+            F.when(read & differs(F.col("m.capture.source_url"), F.col("source_url")),
+                   F.lit("other address")),
             F.when(
                 F.col("m").isNotNull() & (F.coalesce("differing", F.lit(0)) > 0),
                 F.lit("artifacts differ"),
@@ -237,7 +277,11 @@ def chain_checks(
     flags = F.array_compact(
         F.array(
             F.when(F.col("chain_index").isNull(), F.lit("no chain entry")),
-            F.when(F.col("attested") != F.col("manifest_sha256"), F.lit("other manifest")),
+            F.when(
+                F.col("chain_index").isNotNull()
+                & differs(F.col("attested"), F.col("manifest_sha256")),
+                F.lit("other manifest"),
+            ),
             F.when(F.col("spoiled"), F.lit("chain broken here")),
         )
     )
@@ -405,10 +449,11 @@ def verify_archives(
     lean = records.select(
         "path",
         "record_no",
-        F.when(is_artifact, F.substring(F.col("uri"), len(lead) + 1, 1 << 20)).alias("name"),
+        F.when(is_artifact, F.substr(F.col("uri"), F.lit(len(lead) + 1))).alias("name"),
         F.when(is_artifact, text.bytes_digest(F.col("payload"))).alias("sha256"),
         F.when(F.col("uri") == f"{prefix}:manifest", F.col("payload")).alias("manifest"),
         F.when(F.col("uri") == f"{prefix}:seal", F.col("payload")).alias("seal"),
+        "problem",
     )
 
     def at(kind: str) -> Column:
@@ -421,10 +466,13 @@ def verify_archives(
         F.array_sort(found).alias("found"),
         F.min_by("manifest", at("manifest")).alias("manifest"),
         F.max_by("seal", at("seal")).alias("seal"),
+        F.bool_or(F.col("problem").isNotNull()).alias("damaged"),
     )
     read = archives.select(
         "path",
         "found",
+        "damaged",
+        F.col("seal").isNotNull().alias("has_seal"),
         F.col("manifest").isNotNull().alias("has_manifest"),
         F.sha2("manifest", 256).alias("digest"),
         F.from_json(F.col("manifest").cast("string"), MANIFEST_SCHEMA).alias("m"),
@@ -439,24 +487,27 @@ def verify_archives(
     listed = F.array_sort(
         F.transform("m.artifacts", lambda a: F.struct(a["name"], a["sha256"]))
     )
-    readable = F.col("has_manifest") & (F.col("m.spec") == spec)
-    sealed = F.col("s.chain").isNotNull()
+    readable = F.col("has_manifest") & complete_manifest(F.col("m"), spec)
+    sealed = F.col("has_seal") & complete_seal(F.col("s"))
 
     def flag(condition: Column, name: str) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), F.lit(name))
+        return F.when(condition, F.lit(name))
 
     flags = F.array_compact(
         F.array(
             flag(~F.col("has_manifest"), "no manifest record"),
-            flag(F.col("has_manifest") & ~F.coalesce(readable, F.lit(False)),
-                 "manifest unreadable"),
-            flag(readable & (listed != F.col("found")), "artifacts differ"),
-            flag(F.col("has_manifest") & ~sealed, "no seal record"),
+            flag(F.col("damaged"), "archive damaged"),
+            flag(F.col("has_manifest") & ~readable, "manifest unreadable"),
+            flag(readable & differs(listed, F.col("found")), "artifacts differ"),
+            flag(F.col("has_manifest") & ~F.col("has_seal"), "no seal record"),
+            flag(F.col("has_seal") & ~sealed, "seal unreadable"),
             flag(
-                F.col("has_manifest") & (F.col("s.manifest_sha256") != F.col("digest")),
+                F.col("has_manifest") & sealed
+                & differs(F.col("s.manifest_sha256"), F.col("digest")),
                 "seal attests to another manifest",
             ),
-            flag(sealed & (link["entry_hash"] != recomputed), "chain entry does not recompute"),
+            flag(sealed & differs(link["entry_hash"], recomputed),
+                 "chain entry does not recompute"),
             flag(
                 F.col("has_manifest") & sealed
                 & (F.coalesce(F.size("s.timestamps"), F.lit(0)) == 0),

@@ -443,19 +443,26 @@ def _sightings(spark, sf):
     return e.withColumn("seq", seq), half
 
 
+def _one_of_three():
+    return F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string"))
+
+
 @query(
     "account_upsert",
-    """WITH e AS (SELECT 'u'||user_id AS account_id, event_type, ts, {'b': event_id % 100 >= 50,
+    """WITH e AS (SELECT 'u'||user_id AS account_id, 't'||(event_id % 3) AS tenant_id, event_type, ts, {'b': event_id % 100 >= 50,
  's': CASE WHEN user_id % 2 = 0 THEN event_id ELSE -event_id END} AS ord FROM events)
-SELECT account_id, arg_min(event_type, ord) AS display_name, arg_min(ts, ord) AS first_seen,
- arg_max(ts, ord) AS last_seen FROM e GROUP BY 1""",
+SELECT tenant_id, account_id, arg_min(event_type, ord) AS display_name, arg_min(ts, ord) AS first_seen,
+ arg_max(ts, ord) AS last_seen FROM e GROUP BY 1, 2""",
 )
 def account_upsert(spark, sf):
-    """Two batches merged; the last processed sighting wins, not the latest in time."""
+    """Two batches merged; the last processed sighting wins, not the latest in time.
+
+    Three tenants see the same accounts and share none.
+    """
     e, half = _sightings(spark, sf)
     seen = e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account_id"),
-        F.lit("t0").alias("tenant_id"),
+        _one_of_three().alias("tenant_id"),
         F.lit("html").alias("platform"),
         F.col("user_id").cast("string").alias("handle"),
         F.col("event_type").alias("display_name"),
@@ -465,19 +472,19 @@ def account_upsert(spark, sf):
     first = content.merge_accounts(None, seen.where("early"))
     merged = content.merge_accounts(first, seen.where("not early"))
     return merged.select(
-        "account_id", "display_name", plain("first_seen").alias("first_seen"),
+        "tenant_id", "account_id", "display_name", plain("first_seen").alias("first_seen"),
         plain("last_seen").alias("last_seen"),
     )
 
 
 @query(
     "content_reobservation",
-    """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, date_trunc('day', ts)
+    """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, 't'||(event_id % 3) AS tenant_id, date_trunc('day', ts)
  AS posted_at, event_type AS capture_id, 'tr'||event_id AS trace_id, ts, {'b': event_id % 100 >= 50,
  's': CASE WHEN user_id % 2 = 0 THEN event_id ELSE -event_id END} AS ord FROM events)
-SELECT content_id, posted_at, arg_min(capture_id, ord) AS capture_id, arg_min(trace_id, ord)
+SELECT tenant_id, content_id, posted_at, arg_min(capture_id, ord) AS capture_id, arg_min(trace_id, ord)
  AS trace_id, arg_max(capture_id, ord) AS last_capture_id, arg_max(trace_id, ord) AS last_trace_id,
- arg_min(ts, ord) AS first_seen, arg_max(ts, ord) AS last_seen FROM e GROUP BY 1, 2""",
+ arg_min(ts, ord) AS first_seen, arg_max(ts, ord) AS last_seen FROM e GROUP BY 1, 2, 3""",
 )
 def content_reobservation(spark, sf):
     """A repeat moves the last_* columns and leaves the provenance alone."""
@@ -488,7 +495,7 @@ def content_reobservation(spark, sf):
             "content_id"
         ),
         F.date_trunc("day", ts).alias("posted_at"),
-        F.lit("t0").alias("tenant_id"),
+        _one_of_three().alias("tenant_id"),
         F.col("event_type").alias("capture_id"),
         F.concat(F.lit("tr"), F.col("event_id").cast("string")).alias("trace_id"),
         ts.alias("seen_at"), "seq", half.alias("early"),
@@ -496,7 +503,7 @@ def content_reobservation(spark, sf):
     first = content.merge_content(None, batch.where("early"))
     merged = content.merge_content(first, batch.where("not early"))
     return merged.select(
-        "content_id", plain("posted_at").alias("posted_at"), "capture_id", "trace_id",
+        "tenant_id", "content_id", plain("posted_at").alias("posted_at"), "capture_id", "trace_id",
         "last_capture_id", "last_trace_id", plain("first_seen").alias("first_seen"),
         plain("last_seen").alias("last_seen"),
     )
@@ -542,10 +549,10 @@ def reprocess_backlog(spark, sf):
 
 
 def _parsed(spark, sf):
-    """A second reading of four fifths of the documents; some times come out different."""
+    """A second reading of all documents; some times come out different."""
     did = F.col("doc_id")
     tidy = text.collapse_whitespace(F.col("text"))
-    return table(spark, sf, "documents").where(did % 5 != 0).select(
+    return table(spark, sf, "documents").select(
         F.lit("t0").alias("tenant_id"),
         F.concat_ws("-", "source", (did % 50).cast("string")).alias("capture_id"),
         did.cast("string").alias("content_id"),
@@ -563,7 +570,7 @@ def _parsed(spark, sf):
 _OUTCOME_SQL = f"""SELECT CAST(d.doc_id AS VARCHAR) AS content_id, CASE WHEN s.v IS NULL
  THEN 'unknown' WHEN d.doc_id % 11 = 0 THEN 'needs_migration' WHEN s.v < 2 THEN 'updated'
  ELSE 'unchanged' END AS outcome FROM documents d LEFT JOIN ({_STORED_SQL}) s
- ON s.doc_id = d.doc_id WHERE d.doc_id % 5 <> 0"""
+ ON s.doc_id = d.doc_id"""
 
 
 @query("reprocess_outcomes", _OUTCOME_SQL)
@@ -619,7 +626,7 @@ def reprocess_report(spark, sf):
 @query(
     "recent_content",
     """SELECT CAST(event_id AS VARCHAR) AS content_id, 'User '||user_id AS display_name,
- ts AS posted_at FROM events WHERE event_type <> 'error' AND user_id % 9 <> 4
+ ts AS posted_at FROM events WHERE event_type <> 'error'
  ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 100""",
 )
 def recent_content(spark, sf):
@@ -627,8 +634,9 @@ def recent_content(spark, sf):
     obs = sample.observations(spark, sf).withColumn(
         "deleted_at", F.when(F.col("source_id") == "error", F.col("posted_at"))
     )
-    known = table(spark, sf, "events").where("user_id % 9 <> 4").select("user_id").distinct()
+    known = table(spark, sf, "events").select("user_id").distinct()
     who = known.select(
+        F.lit("t0").alias("tenant_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account_id"),
         F.col("user_id").cast("string").alias("handle"),
         F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("display_name"),

@@ -217,11 +217,11 @@ def verdict_history(spark, sf):
 
 @query(
     "verdicts_refused",
-    """SELECT doc_id AS finding_id FROM labels WHERE quality = 0 AND toxic = 1""",
+    f"SELECT finding_id FROM ({_VERDICTS_SQL}) WHERE verdict = 'insufficient_evidence'",
 )
 def verdicts_refused(spark, sf):
     """Only the known verdict values may be appended."""
-    odd = _verdicts(spark, sf).where("verdict_id % 2 = 0").withColumn(
+    odd = _verdicts(spark, sf).withColumn(
         "verdict", F.when(F.col("verdict") == "insufficient_evidence", F.lit("maybe")).otherwise(
             F.col("verdict"))
     )

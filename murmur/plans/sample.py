@@ -55,13 +55,13 @@ BY_USER_GROUP = "'p'||(user_id % 4)"
 def bursts_sql(project: str = ALL, window: int = 120, items: int = 4, accounts: int = 3) -> str:
     """CTEs obs, cand, nxt, pick and win; to be followed by a SELECT."""
     w = window * 1_000_000
-    return f"""WITH RECURSIVE obs AS ({OBS_SQL.format(project=project)}),
+    return f"""WITH RECURSIVE obs AS MATERIALIZED ({OBS_SQL.format(project=project)}),
 starts AS (SELECT DISTINCT project_id, t FROM obs),
-cand AS (SELECT s.project_id, s.t, count(*) AS n, count(DISTINCT o.account_id) AS a, max(o.t) AS e
+cand AS MATERIALIZED (SELECT s.project_id, s.t, count(*) AS n, count(DISTINCT o.account_id) AS a, max(o.t) AS e
  FROM starts s JOIN obs o ON o.project_id = s.project_id AND o.t BETWEEN s.t AND s.t + {w}
  GROUP BY 1, 2 HAVING count(*) >= {items} AND count(DISTINCT o.account_id) >= {accounts}),
-nxt AS (SELECT c.project_id, c.t, min(d.t) AS nt FROM cand c LEFT JOIN cand d
- ON c.project_id = d.project_id AND c.e < d.t GROUP BY 1, 2),
+nxt AS MATERIALIZED (SELECT c.project_id, c.t, d.t AS nt FROM cand c ASOF LEFT JOIN cand d
+ ON c.project_id = d.project_id AND c.e < d.t),
 pick AS (SELECT project_id, min(t) AS t FROM cand GROUP BY 1
  UNION ALL SELECT n.project_id, n.nt FROM pick p JOIN nxt n
  ON n.project_id = p.project_id AND n.t = p.t WHERE n.nt IS NOT NULL),

@@ -6,8 +6,8 @@ returned whether or not anything expected it, so that an extra one is seen.
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,41 +20,92 @@ URI_PREFIX = "urn:evidence"
 # Artifacts that hold the captured document, best first.
 DOCUMENT_ARTIFACTS = ["dom.html", "dom.html.gz"]
 
-RECORD_SCHEMA = "path string, record_no long, uri string, media_type string, payload binary"
+#: ``problem`` says what could not be read; such a row stands for bytes, not for a record.
+RECORD_SCHEMA = (
+    "path string, record_no long, uri string, media_type string, payload binary, problem string"
+)
+
+#: Payload bytes that are handed on at once.
+BATCH_BYTES = 32 << 20
 
 _HEADER = re.compile(rb"WARC/1\.\d\r\n(.*?)\r\n\r\n", re.S)
 
 
-def _records(raw: bytes) -> Iterator[tuple[str, str, bytes]]:
-    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    at = 0
-    while (head := _HEADER.match(data, at)) is not None:
+def _unpacked(raw: bytes) -> tuple[bytes, str | None]:
+    """The bytes of all gzip members, as far as they can be read, and what stopped it."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw, None
+    parts, rest = [], raw
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(member.decompress(rest))
+        except zlib.error:
+            return b"".join(parts), "gzip damaged"
+        if not member.eof:
+            return b"".join(parts), "gzip cut short"
+        rest = member.unused_data
+    return b"".join(parts), "bytes after the last gzip member" if rest.strip(b"\0") else None
+
+
+def _records(raw: bytes) -> Iterator[tuple[str | None, str | None, bytes | None, str | None]]:
+    """Records in order; unread bytes give a row with a problem instead of silence."""
+    data, trouble = _unpacked(raw)
+    at, seen = 0, False
+    while at < len(data):
+        head = _HEADER.match(data, at)
+        if head is None:
+            # what lies between is reported, and reading goes on at the next header
+            following = _HEADER.search(data, at)
+            yield None, None, None, "bytes that are no record"
+            if following is None:
+                break
+            at = following.start()
+            continue
         headers = {}
         for line in head.group(1).split(b"\r\n"):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers.get("content-length", "0"))
+        length = headers.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else None
         start = head.end()
+        payload = data[start : start + (size or 0)]
+        problem = None
+        if size is None:
+            problem = "length of the payload not known"
+        elif len(payload) < size:
+            problem = "payload shorter than its length"
+        seen = True
         yield (
-            headers.get("warc-target-uri", ""),
-            headers.get("content-type", ""),
-            data[start : start + size],
+            headers.get("warc-target-uri", ""), headers.get("content-type", ""), payload, problem
         )
-        at = start + size
+        at = start + len(payload)
         while data[at : at + 2] == b"\r\n":
             at += 2
+    if trouble or not seen:
+        yield None, None, None, trouble or "no record"
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """(path, content) to one row per record, in archive order."""
+    """(path, content) to one row per record, in archive order.
+
+    Every file gives at least one row. Damage gives a row, or marks its record, with
+    ``problem``; it never ends the job nor hides what follows.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "record_no", "uri", "media_type", "payload", "problem"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, i, *r) for i, r in enumerate(_records(bytes(content)))]
-                yield pd.DataFrame(
-                    rows, columns=["path", "record_no", "uri", "media_type", "payload"]
-                )
+                rows, held = [], 0
+                for i, record in enumerate(_records(bytes(content or b""))):
+                    rows.append((path, i, *record))
+                    held += len(record[2] or b"")
+                    if held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(scan, RECORD_SCHEMA)
 
@@ -63,7 +114,7 @@ def artifacts(records: DataFrame, prefix: str = URI_PREFIX) -> DataFrame:
     """Artifact records with the name taken from the address."""
     lead = f"{prefix}:artifact:"
     return records.where(F.col("uri").startswith(lead)).select(
-        "path", "record_no", F.substring(F.col("uri"), len(lead) + 1, 1 << 20).alias("name"),
+        "path", "record_no", F.substr(F.col("uri"), F.lit(len(lead) + 1)).alias("name"),
         "payload",
     )
 
