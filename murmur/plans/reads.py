@@ -439,6 +439,23 @@ def audit_verify(spark, sf):
     return chain.verify_summary(chain.verify(edited, chain.AUDIT))
 
 
+@query(
+    "audit_verify_nulls",
+    _AUDIT
+    + f""", v AS (SELECT tenant_id, i, coalesce({_entry_sql("audit-chain-v1",
+    "tenant_id", "i", "prev_hash", "entry_id", "actor_id",
+    "CASE WHEN i % 5 = 2 THEN NULL ELSE action END", *_AUDIT_FIELDS[3:])} = entry_hash, false) AS ok
+ FROM c) SELECT tenant_id, count(*) AS entries, count(*) FILTER (WHERE NOT ok) AS broken,
+ CAST(min(i) FILTER (WHERE NOT ok) AS BIGINT) AS first_broken FROM v GROUP BY 1""",
+)
+def audit_verify_nulls(spark, sf):
+    """An action that was deleted is seen like one that was edited."""
+    lost = _audit_chain(spark, sf).withColumn(
+        "action", F.when(F.col("chain_index") % 5 != 2, F.col("action"))
+    )
+    return chain.verify_summary(chain.verify(lost, chain.AUDIT))
+
+
 @query(
     "audit_recent",
     _AUDIT

@@ -258,6 +258,52 @@ def chain_verify_tampered(spark, sf):
     )
 
 
+_FORGOTTEN = (
+    _CHAIN
+    + f""", bad AS (SELECT tenant_id, bundle_id, chain_index,
+ CASE WHEN chain_index % 6 = 0 THEN NULL ELSE manifest_sha256 END AS manifest_sha256,
+ CASE WHEN chain_index % 6 = 1 THEN NULL ELSE entry_hash END AS entry_hash,
+ CASE WHEN chain_index % 6 = 2 THEN NULL ELSE prev_hash END AS prev_hash,
+ CASE WHEN chain_index % 6 = 3 THEN NULL ELSE 'sha256' END AS algorithm FROM chain),
+v AS (SELECT *, algorithm IS NOT NULL AND entry_hash = {_RECOMPUTED} AS h,
+ lag(chain_index) OVER w AS pi, lag(entry_hash) OVER w AS ph
+ FROM bad WINDOW w AS (PARTITION BY tenant_id ORDER BY chain_index))
+SELECT tenant_id, chain_index, coalesce(h, false) AS hash_ok,
+ coalesce(pi IS NOT NULL OR (prev_hash IS NOT NULL AND chain_index <> 0) OR prev_hash = {GENESIS_SQL}, false)
+ AS genesis_ok, pi IS NULL OR chain_index = pi + 1 AS index_ok,
+ pi IS NULL OR coalesce(prev_hash = ph, false) AS link_ok FROM v"""
+)
+
+
+@query("chain_verify_nulls", _FORGOTTEN)
+def chain_verify_nulls(spark, sf):
+    """Entries that lost a field are as unsound as edited ones."""
+    kept = _chain(spark, sf)
+    lost = {"manifest_sha256": 0, "entry_hash": 1, "prev_hash": 2, "algorithm": 3}
+    for name, rest in lost.items():
+        kept = kept.withColumn(name, F.when(F.col("chain_index") % 6 != rest, F.col(name)))
+    return chain.verify(kept, chain.EVIDENCE).select(
+        "tenant_id", "chain_index", "hash_ok", "genesis_ok", "index_ok", "link_ok"
+    )
+
+
+@query(
+    "chain_refused",
+    f"""SELECT bundle_id, page_id % 6 > 1 AS linked FROM ({_SEALED})""",
+)
+def chain_refused(spark, sf):
+    """Malformed and missing digests are set aside and never linked."""
+    pid = F.col("page_id")
+    rows = _sealed(spark, sf).withColumn(
+        "manifest_sha256",
+        F.when(pid % 6 == 0, F.upper("manifest_sha256")).when(pid % 6 > 1, F.col("manifest_sha256")),
+    )
+    linked = chain.append(rows, ["page_id"], chain.EVIDENCE)
+    return linked.select("bundle_id", F.lit(True).alias("linked")).unionByName(
+        chain.refused_entries(rows).select("bundle_id", F.lit(False).alias("linked"))
+    )
+
+
 @query(
     "chain_head",
     _CHAIN
@@ -529,6 +575,48 @@ def archive_verify(spark, sf):
     )
 
 
+@query(
+    "archive_verify_damaged",
+    """SELECT 'b'||page_id AS path, page_id % 5 < 4 AS damaged, page_id % 5 <> 3 AS manifest_read,
+ CASE WHEN page_id % 5 = 3 THEN 0 ELSE 2 + CASE WHEN page_id % 17 = 0 THEN 1 ELSE 0 END END
+ AS artifacts FROM pages""",
+)
+def archive_verify_damaged(spark, sf):
+    """Damage is reported for the archive it is in, and what lies behind it is still read."""
+
+    def damage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        junk = gzip.compress(b"left over\r\n", 1, mtime=0)
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                content, kind = bytes(content), int(path[1:]) % 5
+                if kind == 0:
+                    content += gzip.compress(b"more", 1, mtime=0)[:-3]
+                elif kind == 1:
+                    content = junk + content
+                elif kind == 2:
+                    content += b"after the end"
+                elif kind == 3:
+                    content = b"\x1f\x8b" + content[20:]
+                out.append((path, content))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    files = _archive_bytes(spark, sf).mapInPandas(damage, "path string, content binary")
+    records = archives.read_archives(files)
+    found = archives.artifacts(records).groupBy("path").agg(F.count("*").alias("n"))
+    problems = F.col("problems")
+    return (
+        evidence.verify_archives(records)
+        .join(found, "path", "left")
+        .select(
+            "path",
+            F.array_contains(problems, "archive damaged").alias("damaged"),
+            (~F.array_contains(problems, "no manifest record")).alias("manifest_read"),
+            F.coalesce("n", F.lit(0)).cast("int").alias("artifacts"),
+        )
+    )
+
+
 @query(
     "capture_documents",
     """SELECT 'c'||(page_id % 100) AS capture_id, CASE WHEN max(page_id) % 7 = 0 THEN NULL ELSE

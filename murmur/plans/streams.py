@@ -125,11 +125,11 @@ def stream_dedupe(spark, sf):
 
 @query(
     "stream_upsert",
-    """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, date_trunc('day', ts)
- AS posted_at, event_type AS capture_id, 'tr'||event_id AS trace_id, ts, event_id FROM events)
-SELECT content_id, posted_at, arg_min(capture_id, event_id) AS capture_id,
+    """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, 't'||(event_id % 3) AS tenant_id,
+ date_trunc('day', ts) AS posted_at, event_type AS capture_id, 'tr'||event_id AS trace_id, ts, event_id
+ FROM events) SELECT tenant_id, content_id, posted_at, arg_min(capture_id, event_id) AS capture_id,
  arg_max(capture_id, event_id) AS last_capture_id, arg_max(trace_id, event_id) AS last_trace_id,
- min(ts) AS first_seen, max(ts) AS last_seen FROM e GROUP BY 1, 2""",
+ min(ts) AS first_seen, max(ts) AS last_seen FROM e GROUP BY 1, 2, 3""",
 )
 def stream_upsert(spark, sf):
     """Re-observation as a stream: first columns stay, last columns follow."""
@@ -142,7 +142,7 @@ def stream_upsert(spark, sf):
                 "content_id"
             ),
             F.date_trunc("day", ts).alias("posted_at"),
-            F.lit("t0").alias("tenant_id"),
+            F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("tenant_id"),
             F.col("event_type").alias("capture_id"),
             F.concat(F.lit("tr"), F.col("event_id").cast("string")).alias("trace_id"),
             ts.alias("seen_at"),
@@ -154,7 +154,7 @@ def stream_upsert(spark, sf):
     checkpoint = f"{path}/checkpoint"
     _replay(spark, sf, sighted, lambda stream: jobs.run(stream, log.process, checkpoint))
     return log.current().select(
-        "content_id", plain("posted_at").alias("posted_at"), "capture_id", "last_capture_id",
+        "tenant_id", "content_id", plain("posted_at").alias("posted_at"), "capture_id", "last_capture_id",
         "last_trace_id", plain("first_seen").alias("first_seen"),
         plain("last_seen").alias("last_seen"),
     )

@@ -151,6 +151,26 @@ class ContentLog:
             .select(*CONTENT_KEY, "f.*", "l.*")
         )
 
+    def compact(self, path: str, through: int) -> "ContentLog":
+        """A new log whose first part is the fold of the batches up to ``through``.
+
+        The old log is left as it is, so readers may finish; point the stream at the new one.
+        """
+        log = self.spark.read.parquet(f"{self.path}/log")
+        old = F.col("last_order.batch") <= through
+        folded = log.where(old).groupBy("posted_month", *CONTENT_KEY).agg(
+            F.min("first_order").alias("first_order"),
+            F.min_by("f", "first_order").alias("f"),
+            F.max("last_order").alias("last_order"),
+            F.max_by("l", "last_order").alias("l"),
+        )
+        made = ContentLog(self.spark, path)
+        for part, number in ((folded, through), (log.where(~old), through + 1)):
+            part.select(*[c for c in folded.columns if c != "posted_month"], "posted_month").write.mode(
+                "overwrite"
+            ).partitionBy("posted_month").parquet(_version(path, "log", number))
+        return made
+
 
 class HealthStream:
     """Source health kept up to date in processing order."""

@@ -149,3 +149,15 @@ def test_carried_cover_skips_the_start(spark):
     )
     starts = burst.burst_starts(obs, covered=cover).collect()
     assert [(s.at - int(BASE.timestamp() * 1e6)) // 10**6 for s in starts] == [40]
+
+
+def test_detection_refuses_coarse_times(spark):
+    base = datetime(2026, 8, 4)
+    obs = spark.createDataFrame(
+        [("t", "p", "s", f"c{i}", f"a{i}", f"k{i}", base, "day") for i in range(5)],
+        "tenant_id string, project_id string, source_id string, content_id string, account_id string, "
+        "capture_id string, posted_at timestamp, timestamp_precision string",
+    )
+    with pytest.raises(Exception, match="too narrow for timestamps that step by 86400s"):
+        burst.detect(obs, [burst.BurstRule()]).count()
+    assert burst.detect(obs, [burst.BurstRule(window_seconds=200_000)]).count() == 1

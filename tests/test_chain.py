@@ -136,3 +136,29 @@ def test_bundle_neighbours_decide(spark, entries):
     bundles = entries.select("tenant_id", "bundle_id", "manifest_sha256")
     bad = evidence.chain_checks(bundles, edited).where(F.size("chain_problems") > 0)
     assert sorted(r.chain_index for r in bad.collect()) == [1, 2, 3]
+
+
+def test_missing_fields_are_unsound(entries):
+    at = (F.col("tenant_id") == "t1") & (F.col("chain_index") == 3)
+    for column in ("manifest_sha256", "entry_hash", "prev_hash", "algorithm", "bundle_id"):
+        lost = entries.withColumn(column, F.when(~at, F.col(column)))
+        assert ("t1", 3) in broken(lost), column
+        if column in ("prev_hash", "entry_hash"):
+            found = {r.bundle_id: r.chain_problems for r in evidence.chain_checks(
+                entries.select("tenant_id", "bundle_id", "manifest_sha256"), lost).collect()}
+            assert "chain broken here" in found["bt13"], column
+    start = (F.col("tenant_id") == "t1") & (F.col("chain_index") == 0)
+    lost = entries.withColumn("prev_hash", F.when(~start, F.col("prev_hash")))
+    assert "does not start from the genesis hash" in broken(lost)["t1", 0]
+
+
+def test_malformed_rows_are_never_linked(spark):
+    good = sealed(spark, 3, ("t1",))
+    odd = spark.createDataFrame(
+        [("t1", 10, "x", "XYZ"), ("t1", 11, "y", None), ("t1", 12, None, "a" * 64), (None, 13, "z", "a" * 64),
+         ("t1", 14, "w", "A" * 64)], good.schema)
+    rows = good.unionByName(odd)
+    linked = chain.append(rows, ["seq"], chain.EVIDENCE)
+    assert sorted(r.seq for r in linked.collect()) == [0, 1, 2]
+    assert sorted(r.seq for r in chain.refused_entries(rows).collect()) == [10, 11, 12, 13, 14]
+    assert broken(linked) == {}

@@ -159,6 +159,13 @@ def test_archive_from_its_own_records(spark):
         + member("urn:evidence:artifact:dom.html", body),
         "forged": whole + member("urn:evidence:seal", json.dumps(forged).encode()),
         "no manifest": member("urn:evidence:artifact:dom.html", body),
+        "cut": whole + member("urn:evidence:seal", seal.encode())[:-2],
+        "broken": b"\x1f\x8b" + whole[30:],
+        "empty": b"",
+        "between": gzip.compress(b"not a record\r\n") + whole,
+        "stripped": member("urn:evidence:manifest", json.dumps({"spec": json.loads(manifest)["spec"]}).encode())
+        + member("urn:evidence:artifact:dom.html", body) + member("urn:evidence:seal", seal.encode()),
+        "hollow seal": whole + member("urn:evidence:seal", b'{"chain": {"chain_index": 0}}'),
     }
     frame = spark.createDataFrame(list(cases.items()), "path string, content binary")
     records = archives.read_archives(frame)
@@ -169,7 +176,15 @@ def test_archive_from_its_own_records(spark):
         "unsealed": ["no seal record"],
         "forged": ["chain entry does not recompute"],
         "no manifest": ["no manifest record"],
+        "cut": ["archive damaged"],
+        "broken": ["no manifest record", "archive damaged"],
+        "empty": ["no manifest record", "archive damaged"],
+        "between": ["archive damaged"],
+        "stripped": ["manifest unreadable", "seal attests to another manifest"],
+        "hollow seal": ["seal unreadable"],
     }
+    between = [r for r in records.where("path = 'between'").orderBy("record_no").collect()]
+    assert [r.uri is None for r in between] == [True, False, False, False, False]
     placed = b.withColumn("path", F.lit("whole")).unionByName(
         bundles(spark, "b2").withColumn("path", F.lit("expired"))
     )

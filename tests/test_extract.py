@@ -9,9 +9,9 @@ from murmur.sources import markup
 
 MARKED = """<html><body>
 <div data-post-item="m1" data-post-author="alpha" data-post-display-name="A &amp; co"
- data-post-posted-at="2026-08-04T09:12:04Z"> The <b>new</b>
- bridge<br> is late. </div>
-<div data-post-item="m2" data-post-author="beta" data-post-posted-at="2026-08-04T09:12:19Z">ხიდის ვადა</div>
+ data-post-posted-at="2026-08-04T09:12:04Z"> A <b>red</b>
+ kite<br> was seen. </div>
+<div data-post-item="m2" data-post-author="beta" data-post-posted-at="2026-08-04T09:12:19Z">წითელი ფრანი</div>
 <p>outside</p>
 <div data-post-item="" data-post-author="x" data-post-posted-at="2026-08-04T09:12:31Z">no id</div>
 <div data-post-item="m4" data-post-author="d" data-post-posted-at="yesterday">bad time</div>
@@ -20,13 +20,13 @@ MARKED = """<html><body>
 """
 
 CHANNEL = """<div class="hist">
-<div class="tgme_widget_message js" data-post="civic/1"><div>
- <a class="tgme_widget_message_owner_name"><span>Civic
-   Voice</span></a>
+<div class="tgme_widget_message js" data-post="kites/1"><div>
+ <a class="tgme_widget_message_owner_name"><span>Kite
+   Log</span></a>
  <div class="tgme_widget_message_text">one <b>bold</b> line<br>two</div>
  <time datetime="2026-08-04T09:12:04+00:00">09:12</time><time datetime="1999-01-01">x</time>
 </div></div>
-<div class="tgme_widget_message" data-post="region/2">
+<div class="tgme_widget_message" data-post="gusts/2">
  <div class="tgme_widget_message_text">no time</div></div>
 <div class="tgme_widget_message">no id</div></div>"""
 
@@ -44,7 +44,7 @@ def test_marked_page(spark):
     shaped = extract.extract(captures(spark, ("canary", MARKED))).orderBy("ordinal").collect()
     good = [r for r in shaped if r.problem is None]
     assert [r.external_id for r in good] == ["m1", "m2", "m5"]
-    assert good[0].text == "The new bridge is late."
+    assert good[0].text == "A red kite was seen."
     assert good[0].author_display_name == "A & co"
     assert good[1].author_display_name is None
     assert [r.script for r in good] == ["latin", "georgian", None]
@@ -54,10 +54,10 @@ def test_marked_page(spark):
 
 def test_channel_page(spark):
     shaped = extract.extract(captures(spark, ("telegram", CHANNEL))).orderBy("ordinal").collect()
-    assert [r.external_id for r in shaped] == ["civic/1", "region/2"]
+    assert [r.external_id for r in shaped] == ["kites/1", "gusts/2"]
     first = shaped[0]
-    assert first.author_handle == "civic"
-    assert first.author_display_name == "Civic\n Voice"
+    assert first.author_handle == "kites"
+    assert first.author_display_name == "Kite\n Log"
     assert first.text == "one bold linetwo"
     assert first.posted_at == datetime(2026, 8, 4, 9, 12, 4)
     assert "unreadable time" in shaped[1].problem
@@ -91,9 +91,9 @@ def test_capture_validation(spark):
 
 
 def test_invalid_bytes_are_replaced(spark):
-    broken = MARKED.encode().replace(b"late", b"l\xffte")
+    broken = MARKED.encode().replace(b"seen", b"s\xffen")
     rows = extract.accepted(extract.extract(captures(spark, ("canary", broken)))).orderBy("ordinal")
-    assert "l�te" in rows.first().text
+    assert "s�en" in rows.first().text
 
 
 def test_golden_channels_make_one_burst(spark):

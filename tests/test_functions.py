@@ -139,10 +139,10 @@ def test_iso_offset_text(spark):
 
 
 SOURCES = [
-    ("https://t.me/s/civic", "telegram", "https://t.me/s/civic"),
-    ("<https://t.me/civic/>", "telegram", "https://t.me/s/civic"),
-    ("@civic", "telegram", "https://t.me/s/civic"),
-    ("civic?before=3", "telegram", "https://t.me/s/civic"),
+    ("https://t.me/s/kites", "telegram", "https://t.me/s/kites"),
+    ("<https://t.me/kites/>", "telegram", "https://t.me/s/kites"),
+    ("@kites", "telegram", "https://t.me/s/kites"),
+    ("kites?before=3", "telegram", "https://t.me/s/kites"),
     ("bad name", "telegram", None),
     ("http://m.facebook.com/page.one/posts/1", "facebook", "https://www.facebook.com/page.one"),
     ("@page-two", "facebook", "https://www.facebook.com/page-two"),

@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta
 
 from murmur.operators import burst
+from pyspark.sql import functions as F
+
 from murmur.streaming import jobs
 from tests.test_burst import BASE, frame, greedy
 
@@ -68,6 +70,15 @@ def test_content_log(spark, tmp_path):
     assert (row.last_capture_id, row.last_trace_id) == ("k3", "t3")
     assert row.last_seen == day
 
+    log.process(batch(("k4", "t4", 2, 1)).withColumn("tenant_id", F.lit("other")), 2)
+    before = sorted(map(tuple, log.current().collect()))
+    assert len(before) == 2
+    for through in (0, 1, 2):
+        small = log.compact(f"{tmp_path}/compact{through}", through)
+        assert sorted(map(tuple, small.current().collect())) == before
+        small.process(batch(("k9", "t9", 7, 1)), 9)
+        assert {r.last_capture_id for r in small.current().collect()} == {"k9", "k4"}
+
 
 def test_health_merges_in_order_of_arrival(spark, tmp_path):
     job = jobs.HealthStream(spark, str(tmp_path))

@@ -82,3 +82,31 @@ def test_merge_keeps_provenance(spark):
     row = content.merge_content(content.merge_content(None, one), two).first()
     assert (row.capture_id, row.last_capture_id) == ("k1", "k2")
     assert (row.first_seen, row.last_seen) == (day, datetime(2026, 8, 1))
+
+
+def test_tenants_share_nothing(spark):
+    day = datetime(2026, 8, 4)
+    seen = spark.createDataFrame(
+        [("a", t, "html", "h", name, day, 1) for t, name in (("t1", "one"), ("t2", "two"))],
+        "account_id string, tenant_id string, platform string, handle string, display_name string, "
+        "seen_at timestamp, seq long",
+    )
+    both = content.merge_accounts(content.merge_accounts(None, seen), seen)
+    assert {(r.tenant_id, r.display_name) for r in both.collect()} == {("t1", "one"), ("t2", "two")}
+
+
+def test_an_item_listed_twice_is_updated_once(spark):
+    day = datetime(2026, 8, 4)
+    shape = ("tenant_id string, {capture} string, content_id string, posted_at timestamp, text string, "
+             "text_sha256 string, script string, timestamp_precision string, extractor_version int")
+    stored = spark.createDataFrame(
+        [("t", "c", "i", day, "old", "o", None, "second", 1)], shape.format(capture="last_capture_id")
+    ).selectExpr("*", "cast(null as timestamp) as deleted_at")
+    parsed = spark.createDataFrame(
+        [("t", "c", "i", day, text, text, None, "minute", 2, n) for n, text in enumerate(("first", "second"))],
+        shape.format(capture="capture_id") + ", ordinal int",
+    )
+    outcomes = content.reprocess_outcomes(stored, parsed)
+    assert [r.outcome for r in outcomes.orderBy("ordinal").collect()] == ["updated", "unchanged"]
+    new = content.apply_reprocessing(stored, outcomes).collect()
+    assert [(r.text, r.extractor_version) for r in new] == [("first", 2)]
