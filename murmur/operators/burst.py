@@ -41,8 +41,9 @@ OBSERVATION_COLUMNS = [
 SCOPE = ["tenant_id", "project_id"]
 KEYS = [*SCOPE, "rule_id"]
 
-#: A slot of the time line spans this many rule windows.
-SLOT_WINDOWS = 64
+#: A slot of the time line spans about this long, and two rule windows at least: a wide rule
+#: does not make few and huge slots, nor a narrow one very many.
+SLOT_SECONDS = 3600
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,11 @@ class BurstRule:
     shadow: bool = True
     enabled: bool = False
 
+    @property
+    def slot_seconds(self) -> int:
+        """Length of a slot: a whole number of windows."""
+        return self.window_seconds * max(2, SLOT_SECONDS // self.window_seconds)
+
 
 class RuleConfigurationError(ValueError):
     """The rule cannot measure anything on this input."""
@@ -158,7 +164,7 @@ def qualifying_starts(obs: DataFrame, rules: list[BurstRule]) -> DataFrame:
     Rows of one (keys, slot) lie together and in order of ``at``.
     """
     gap = _parameter(rules, "window_seconds", MICROS)
-    length = gap * SLOT_WINDOWS
+    length = _parameter(rules, "slot_seconds", MICROS)
     scope = [*SCOPE, "rule_no"]
     points = (
         _with_rules(obs, rules, ["account_id"])

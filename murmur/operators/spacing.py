@@ -79,7 +79,7 @@ def choose_spaced(
     key. ``covered`` (keys, covered_until) carries the state on from an earlier run.
 
     The points of a slot are read in order and streamed: step 1 holds one slot's moments,
-    step 3 one number.
+    step 3 one number. Step 2 streams as well, with one slot's few steps at a time.
     """
     group = [*keys, slot]
     fields = {f.name: f for f in points.schema.fields}
@@ -128,25 +128,38 @@ def choose_spaced(
     functions = ordered.select(*group, at, gap, slot_length).mapInPandas(steps, step_schema)
     entry_schema = T.StructType([*key_fields, slot_field, T.StructField("state", T.LongType())])
 
-    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([slot, "below"], kind="stable")
-        slots = pdf[slot].to_numpy()
-        below, leaves = pdf["below"].to_numpy(), pdf["leaves"].to_numpy()
-        names, starts = np.unique(slots, return_index=True)
-        ends = np.append(starts[1:], len(slots))
-        state = NEVER
-        states = np.empty(len(names), dtype=np.int64)
-        for i, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
-            states[i] = state
-            pick = lo + np.searchsorted(below[lo:hi], state, side="right")
-            if pick < hi:
-                state = int(leaves[pick])
-        out = pd.DataFrame({slot: names, "state": states})
-        for position, name in enumerate(keys):
-            out[name] = key[position]
-        return out[entry_schema.names]
-
-    on_entry = functions.groupBy(*keys).applyInPandas(entries, entry_schema)
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Run through the step functions of a key's slots, in order, with one state."""
+        current, state = None, NEVER
+        slot_now, entered, bounds, exits = None, NEVER, [], []
+
+        def leave() -> int:
+            pick = int(np.searchsorted(np.concatenate(bounds), entered, side="right"))
+            leaving = np.concatenate(exits)
+            return int(leaving[pick]) if pick < len(leaving) else entered
+
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = [batch[c].to_numpy() for c in group]
+            below, leaves = batch["below"].to_numpy(), batch["leaves"].to_numpy()
+            for lo, hi in _groups(columns):
+                name = tuple(c[lo] for c in columns)
+                if name != slot_now:
+                    if slot_now is not None:
+                        state = leave()
+                    if name[:-1] != current:
+                        current, state = name[:-1], NEVER
+                    slot_now, entered, bounds, exits = name, state, [], []
+                    rows.append((*name, state))
+                bounds.append(below[lo:hi])
+                exits.append(leaves[lo:hi])
+            yield pd.DataFrame(rows, columns=entry_schema.names)
+
+    on_entry = (
+        functions.repartition(*keys)
+        .sortWithinPartitions(*group, "below")
+        .mapInPandas(entries, entry_schema)
+    )
 
     chosen_schema = T.StructType(
         [*key_fields, slot_field, *[T.StructField(n, fields[n].dataType) for n in payload]]
