@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import batch, in_fold, small_batches
+from murmur.session import materialise
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 500
@@ -214,7 +215,7 @@ def training_spans(
         raise ValueError(f"more than {LANGUAGES} languages")
     if not languages:
         return np.zeros((0, span), np.uint8), np.zeros(0, np.int64), []
-    # the hash below which about enough rows of each language lie, from exact counts
+    # the hash below which about twice enough rows of each language lie, from exact counts
     counts = {r.lang: r["count"] for r in keys.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang in languages:
@@ -243,7 +244,8 @@ def training_spans(
                 names=["lang", "part", "ord"],
             )
 
-    parts = chosen.mapInArrow(cut, "lang string, part binary, ord long")
+    # one scan of the texts; what it leaves is some multiple of the sample
+    parts = materialise(chosen.mapInArrow(cut, "lang string, part binary, ord long"), "language-spans")
     got = []
     for lang in languages:
         top = parts.where(F.col("lang") == lang).orderBy("ord", "part").limit(per_language * spans)
