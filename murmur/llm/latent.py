@@ -45,7 +45,9 @@ from murmur.llm.common import batch, documents, small_batches
 PASSAGE = 64
 WINDOW = 32
 STRIDE = 8
-COMMON = 0.02
+COMMON = 0.05
+#: In a small corpus, terms of up to so many documents are never common.
+FEW = 50
 RANK = 256
 OVERSAMPLE = 16
 POWER = 2
@@ -191,7 +193,7 @@ def vector(ids: list[int], idf: np.ndarray) -> tuple[list[int], list[float]]:
 def weights(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
     """Inverse document frequencies; zero for common terms."""
     seen, total = frequencies(docs, terms)
-    return np.where(seen > max(COMMON * total, 5), 0.0, np.log((total + 1) / (seen + 1)) + 1)
+    return np.where(seen > max(COMMON * total, FEW), 0.0, np.log((total + 1) / (seen + 1)) + 1)
 
 
 def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:

@@ -51,8 +51,8 @@ def test_distinct_entities_stay_distinct(spark):
     assert len({r.text for r in rows if r.doc_id >= 1000}) == 100
 
 
-def test_no_python_runs(spark, capsys):
-    rewritten(spark, ROWS).explain("formatted")
+def test_no_python_runs(spark, sf, capsys):
+    surrogates.replace(spark.read.parquet(f"{sf}/documents.parquet")).explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
