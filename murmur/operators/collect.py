@@ -119,7 +119,16 @@ def newest(table: DataFrame, column: str, tie: str, limit: int) -> DataFrame:
     return table.orderBy(F.desc(column), F.desc(tie)).limit(limit)
 
 
-def run_summary(stages: DataFrame) -> DataFrame:
+def by_name(table: DataFrame, name: str, tie: str, limit: int) -> DataFrame:
+    """The first rows of a list by name, with a unique tie-break."""
+    return table.orderBy(name, tie).limit(limit)
+
+
+#: Characters of a failure shown in a run's ``detail``; the whole text is in ``failure``.
+DETAIL_CHARS = 500
+
+
+def run_summary(stages: DataFrame, detail_chars: int = DETAIL_CHARS) -> DataFrame:
     """Stage rows to one row per run: failed, idle or ok, with the totals.
 
     ``stages`` has run_id, stage_no, stage, status, detail, due, items, findings, exports and
@@ -146,7 +155,7 @@ def run_summary(stages: DataFrame) -> DataFrame:
         .otherwise(F.lit("ok"))
     )
     detail = (
-        F.when(F.col("failure").isNotNull(), F.substring("failure", 1, 500))
+        F.when(F.col("failure").isNotNull(), F.substring("failure", 1, detail_chars))
         .when(F.col("sources_due") == 0, F.lit("no source was due"))
         .otherwise(
             F.format_string(
@@ -155,7 +164,7 @@ def run_summary(stages: DataFrame) -> DataFrame:
             )
         )
     )
-    return runs.withColumn("outcome", outcome).withColumn("detail", detail).drop("failure")
+    return runs.withColumn("outcome", outcome).withColumn("detail", detail)
 
 
 def scheduler_health(tenants: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

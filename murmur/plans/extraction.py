@@ -275,14 +275,14 @@ def row_quarantine(spark, sf):
     )
 
 
-@query(
-    "capture_validation",
-    f"""SELECT capture_id, count(*) FILTER (WHERE external_id <> '' AND posted_at IS NOT NULL)
+VALIDATION_SQL = f"""SELECT capture_id, count(*) FILTER (WHERE external_id <> '' AND posted_at IS NOT NULL)
  AS items, count(*) FILTER (WHERE external_id = '' OR posted_at IS NULL) AS rejected,
  count(*) FILTER (WHERE external_id = '' OR posted_at IS NULL) = 0 AND
  count(*) FILTER (WHERE external_id <> '' AND posted_at IS NOT NULL) >= 10 AS validation_passed
- FROM ({_SHAPED_SQL}) GROUP BY 1""",
-)
+ FROM ({_SHAPED_SQL}) GROUP BY 1"""
+
+
+@query("capture_validation", VALIDATION_SQL)
 def capture_validation(spark, sf):
     """Per capture: how many items, and whether the page still looks as it should."""
     captures = _json_captures(spark, sf)

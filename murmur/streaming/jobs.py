@@ -26,7 +26,8 @@ class BurstStream:
     """Streaming burst windows, exact for everything that arrives before the watermark.
 
     A start is decided once the watermark has passed its window. Rows at or before the
-    watermark are late: they are dropped and counted, because windows they belong to are out.
+    watermark, or without a time, are late: the windows they belong to are out, so they are counted
+    and kept aside (:meth:`late_items`) for a batch run.
     """
 
     def __init__(self, spark: SparkSession, path: str, rule: BurstRule, delay_seconds: int):
@@ -61,14 +62,17 @@ class BurstStream:
             undecided = self._read("open", batch_id - 1).where(F.col("_t") > clock.final)
             rows = new.where(F.col("_t") > before).unionByName(undecided)
             cover = self._read("cover", batch_id - 1)
-        seen = new.agg(F.max("_t").alias("m"), F.count_if(F.col("_t") <= before).alias("late"))
-        seen = seen.first()
+        too_late = F.coalesce(F.col("_t") <= before, F.lit(True))
+        seen = new.agg(F.max("_t").alias("m"), F.count_if(too_late).alias("late")).first()
         if flush:
             watermark = 2**62
         else:
             watermark = max(before, (NEVER if seen.m is None else seen.m - self.delay))
         final = watermark - self.gap
 
+        if seen.late:
+            # kept, so that a batch run can decide their windows again
+            self._write(new.where(too_late).drop("_t"), "late", batch_id)
         rules = [self.rule]
         # Written once; every step below reads this version.
         self._write(rows, "open", batch_id)
@@ -102,6 +106,12 @@ class BurstStream:
     def findings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/findings")
 
+    def late_items(self) -> DataFrame | None:
+        """Items behind the watermark, and items without a time; None if there were none."""
+        if not self.spark.read.parquet(f"{self.path}/clock").where("late > 0").limit(1).count():
+            return None
+        return self.spark.read.parquet(f"{self.path}/late")
+
     def late_rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/clock").agg(F.sum("late").alias("late"))
 
