@@ -375,11 +375,11 @@ def export_digests(spark, sf):
 
 
 def _audit_rows(spark, sf):
-    """Conversation turns as audited actions of four tenants."""
+    """Conversation turns as audited actions; 64 conversations in a row are one tenant's."""
     c, t = F.col("conv_id"), F.col("turn")
     return table(spark, sf, "conversations").select(
         "conv_id", "turn",
-        F.concat(F.lit("t"), (c % 4).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("t"), F.expr("conv_id div 64").cast("string")).alias("tenant_id"),
         F.concat_ws("-", c.cast("string"), t.cast("string")).alias("entry_id"),
         F.concat(F.lit("actor"), (c % 9).cast("string")).alias("actor_id"),
         F.col("role").alias("action"),
@@ -391,11 +391,11 @@ def _audit_rows(spark, sf):
     )
 
 
-_AUDIT_ROWS = """SELECT 't'||(conv_id % 4) AS tenant_id, conv_id||'-'||turn AS entry_id,
+_AUDIT_ROWS = """SELECT 't'||(conv_id // 64) AS tenant_id, conv_id||'-'||turn AS entry_id,
  'actor'||(conv_id % 9) AS actor_id, role AS action, 'conversation' AS resource_type,
  CAST(conv_id AS VARCHAR) AS resource_id, CASE role WHEN 'system' THEN 'denied' ELSE 'allowed' END
  AS outcome, strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn),
- '%Y-%m-%dT%H:%M:%S.000000Z') AS occurred, row_number() OVER (PARTITION BY conv_id % 4
+ '%Y-%m-%dT%H:%M:%S.000000Z') AS occurred, row_number() OVER (PARTITION BY conv_id // 64
  ORDER BY conv_id, turn) - 1 AS i FROM conversations"""
 _AUDIT_FIELDS = [
     "entry_id", "actor_id", "action", "resource_type", "resource_id", "outcome", "occurred",

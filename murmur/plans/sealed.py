@@ -19,13 +19,13 @@ KEY = ["tenant_id", "bundle_id"]
 
 
 def _bundles(spark, sf):
-    """Each page is a capture of one of four tenants, a minute after the one before."""
+    """Each page is a capture, a minute after the one before; 64 in a row are one tenant's."""
     pid = F.col("page_id")
     number = pid.cast("string")
     micro = F.when(pid % 2 == 1, pid % 1000).otherwise(0)
     return table(spark, sf, "pages").select(
         "page_id",
-        F.concat(F.lit("t"), (pid % 4).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("t"), F.expr("page_id div 64").cast("string")).alias("tenant_id"),
         F.concat(F.lit("b"), number).alias("bundle_id"),
         F.concat(F.lit("c"), number).alias("capture_id"),
         F.concat(F.lit("tr"), number).alias("trace_id"),
@@ -53,7 +53,7 @@ def _artifacts(spark, sf):
     return dom.unionByName(note)
 
 
-_P = """SELECT page_id, 't'||(page_id % 4) AS tenant_id, 'b'||page_id AS bundle_id,
+_P = """SELECT page_id, 't'||(page_id // 64) AS tenant_id, 'b'||page_id AS bundle_id,
  'c'||page_id AS capture_id, 'tr'||page_id AS trace_id, url AS source_url, url, html,
  strftime(TIMESTAMP '2024-01-01' + to_minutes(page_id), '%Y-%m-%dT%H:%M:%S')||CASE WHEN
  page_id % 2 = 1 AND page_id % 1000 > 0 THEN printf('.%06d', page_id % 1000) ELSE '' END||'+00:00'
@@ -194,9 +194,8 @@ def chain_append(spark, sf):
 def chain_append_to_heads(spark, sf):
     """The same chain written in two runs, the second starting from the stored heads."""
     sealed = _sealed(spark, sf)
-    middle = table(spark, sf, "pages").agg(F.expr("max(page_id) div 2").alias("m"))
-    early = sealed.join(middle, F.col("page_id") <= F.col("m"), "left_semi")
-    late = sealed.join(middle, F.col("page_id") > F.col("m"), "left_semi")
+    first_half = F.col("page_id") % 64 < 32
+    early, late = sealed.where(first_half), sealed.where(~first_half)
     first = chain.append(early, ["page_id"], chain.EVIDENCE)
     second = chain.append(late, ["page_id"], chain.EVIDENCE, chain.heads(first))
     return first.unionByName(second).select("tenant_id", "chain_index", "bundle_id", "entry_hash")
@@ -340,7 +339,7 @@ def _anchors(spark, sf):
     _CHAIN
     + """, h AS (SELECT tenant_id, max(chain_index) AS head_index, max(chain_index) FILTER
  (WHERE page_id % 10 = 0 AND tenant_id <> 't2') AS anchored_index FROM chain GROUP BY 1),
-t AS (SELECT DISTINCT 't'||(page_id % 5) AS tenant_id FROM pages)
+t AS (SELECT DISTINCT 't'||(page_id // 50) AS tenant_id FROM pages)
 SELECT t.tenant_id, head_index, anchored_index, head_index - anchored_index AS behind,
  CASE WHEN head_index IS NULL THEN 'empty' WHEN anchored_index IS NULL THEN 'never'
  WHEN head_index = anchored_index THEN 'current' ELSE 'behind' END AS state
@@ -348,7 +347,7 @@ SELECT t.tenant_id, head_index, anchored_index, head_index - anchored_index AS b
 )
 def anchor_lag(spark, sf):
     tenants = table(spark, sf, "pages").select(
-        F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string")).alias("tenant_id")
+        F.concat(F.lit("t"), F.expr("page_id div 50").cast("string")).alias("tenant_id")
     ).distinct()
     return chain.anchor_lag(tenants, _chain(spark, sf), _anchors(spark, sf))
 
@@ -446,7 +445,7 @@ def bundle_without_chain(spark, sf):
 
 @query(
     "bundle_counts",
-    """SELECT 't'||(page_id % 4) AS tenant_id, count(*) AS bundles, count(*) FILTER (WHERE
+    """SELECT 't'||(page_id // 64) AS tenant_id, count(*) AS bundles, count(*) FILTER (WHERE
  TIMESTAMP '2024-01-01' + to_minutes(page_id) > TIMESTAMP '2023-12-31 02:00:00' + INTERVAL 24 HOUR)
  AS bundles_last_24h FROM pages GROUP BY 1""",
 )
