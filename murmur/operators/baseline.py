@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import moments
+from murmur.sources.tables import END_MONTH, FIRST_MONTH
 
 # Thresholds of the baseline.
 MINIMUM_SAMPLES = 3
@@ -15,13 +16,19 @@ MINIMUM_COVERAGE = 0.8
 STALE_AFTER_DAYS = 7
 
 
-def hourly_counts(obs: DataFrame) -> DataFrame:
+def hourly_counts(
+    obs: DataFrame, first: str = FIRST_MONTH, end: str = END_MONTH
+) -> DataFrame:
     """Items per source and hour; hours of silence inside the observed span count as 0.
 
     The calendar is built from each source's first and last hour, so it is as large as
-    sources times hours, whatever the number of items.
+    sources times hours, whatever the number of items. Only the months content is expected in
+    are filled: one wrong date would stretch a calendar over millennia. What lies outside is
+    reported by :func:`murmur.sources.tables.out_of_range`.
     """
-    busy = obs.groupBy("source_id", F.date_trunc("hour", "posted_at").alias("hour")).agg(
+    moment = F.col("posted_at")
+    expected = (moment >= F.lit(first).cast("timestamp")) & (moment < F.lit(end).cast("timestamp"))
+    busy = obs.where(expected).groupBy("source_id", F.date_trunc("hour", "posted_at").alias("hour")).agg(
         F.count("*").alias("items")
     )
     calendar = (
