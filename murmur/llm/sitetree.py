@@ -85,11 +85,13 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-class Node:
-    __slots__ = ("tag", "path", "above", "prior", "furniture", "inside", "children", "dropped", "kept_as_text")
+class Shape:
+    """What elements with the same path and role have in common."""
+
+    __slots__ = ("tag", "path", "prior", "furniture", "inside", "kept_as_text", "block")
 
-    def __init__(self, tag: str, names: str, above: Node | None, role: str | None):
-        self.tag, self.above = tag, above
+    def __init__(self, tag: str, names: str, above: Shape | None, role: str | None):
+        self.tag = tag
         self.path = xxhash.xxh64_intdigest(
             f"{above.path if above else 0}/{tag}.{names}".encode()
         ) - (1 << 63)
@@ -100,9 +102,39 @@ class Node:
         ) or role in ROLES or marked
         self.inside = not self.furniture and (in_article or tag in ("article", "main") or role in ("main", "article"))
         self.prior = 0.0 if self.furniture else 1.0 if self.inside or tag in RUNNING else 0.5
-        self.children: list[str] = []
         self.kept_as_text = self.inside and tag in RUNNING | {"article", "main"}
-        self.dropped = self.furniture or bool(above and above.dropped)
+        self.block = tag in BLOCKS
+
+
+#: Shapes a worker has met; sites repeat theirs on every page.
+_shapes: dict[tuple, Shape] = {}
+SHAPES = 50_000
+
+
+def shape_of(tag: str, names: str, above: Shape | None, role: str | None) -> Shape:
+    key = (tag, names, above, role)
+    found = _shapes.get(key)
+    if found is None:
+        if len(_shapes) >= SHAPES:
+            _shapes.clear()
+        found = _shapes[key] = Shape(tag, names, above, role)
+    return found
+
+
+class Node:
+    """An element of a page."""
+
+    __slots__ = ("shape", "above", "children", "dropped")
+
+    def __init__(self, shape: Shape, above: Node | None):
+        self.shape, self.above = shape, above
+        self.children: list[str] = []
+        self.dropped = shape.furniture or (above is not None and above.dropped)
+
+    tag = property(lambda self: self.shape.tag)
+    path = property(lambda self: self.shape.path)
+    prior = property(lambda self: self.shape.prior)
+    inside = property(lambda self: self.shape.inside)
 
 
 class Reader(HTMLParser):
@@ -112,11 +144,14 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.drop = drop
         self.stack: list[Node] = []
-        self.nodes: list[Node] = []
         self.blocks: list[tuple[Node, str]] = []
         self.parts: list[str] = []
         self.owner: Node | None = None
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not needed."""
+        return j
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -126,7 +161,7 @@ class Reader(HTMLParser):
         self.owner = None
 
     def _pop_to(self, index: int) -> None:
-        if any(n.tag in BLOCKS for n in self.stack[index:]):
+        if any(n.shape.block for n in self.stack[index:]):
             self.flush()
         del self.stack[index:]
 
@@ -138,37 +173,43 @@ class Reader(HTMLParser):
         if tag in ENDS_PARAGRAPH or tag in CLOSES:
             closing = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_PARAGRAPH else frozenset())
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].tag in closing:
+                open_tag = self.stack[i].shape.tag
+                if open_tag in closing:
                     self._pop_to(i)
                     break
-                if self.stack[i].tag in STOPS:
+                if open_tag in STOPS:
                     break
-        values = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
-        names = re.sub(r"\d+", "", f"{values.get('class', '')} {values.get('id', '')}").lower()
+        names, role = "", None
+        if attrs:
+            values = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
+            if values:
+                names = re.sub(r"\d+", "", f"{values.get('class', '')} {values.get('id', '')}").lower()
+                names = " ".join(sorted(names.split()))
+                role = values.get("role", "").lower() or None
         above = self.stack[-1] if self.stack else None
-        node = Node(tag, " ".join(sorted(names.split())), above, values.get("role", "").lower() or None)
-        if node.path in self.drop and not node.kept_as_text:
+        shape = shape_of(tag, names, above.shape if above else None, role)
+        node = Node(shape, above)
+        if shape.path in self.drop and not shape.kept_as_text:
             node.dropped = True
-        if tag in BLOCKS:
+        if shape.block:
             self.flush()
         if above is not None:
             above.children.append(tag)
         self.stack.append(node)
-        self.nodes.append(node)
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
+            if self.stack[i].shape.tag == tag:
                 self._pop_to(i)
                 return
         if tag == "p":
             self.flush()
 
     def handle_data(self, data):
-        if not self.stack or self.stack[-1].tag in ("script", "style"):
+        if not self.stack or self.stack[-1].shape.tag in ("script", "style"):
             if self.stack or not data.strip():
                 return
-        node = self.stack[-1] if self.stack else Node("body", "", None, None)
+        node = self.stack[-1] if self.stack else Node(shape_of("body", "", None, None), None)
         if self.owner is None or self.owner.dropped != node.dropped or self.owner.inside != node.inside:
             self.flush()
             self.owner = node
