@@ -525,7 +525,8 @@ def unevidenced_clusters(spark, sf):
     "dangling_refs",
     bursts_sql()
     + f""" SELECT 't0' AS tenant_id, count(*) AS dangling_findings FROM (SELECT DISTINCT s
- FROM inside WHERE 'b-'||capture_id NOT IN (SELECT bundle_id FROM ({BUNDLES_SQL})))""",
+ FROM inside WHERE 'b-'||capture_id NOT IN (SELECT bundle_id FROM ({BUNDLES_SQL})))
+ HAVING count(*) > 0""",
 )
 def dangling_refs(spark, sf):
     """Findings that claim a bundle nobody can produce."""

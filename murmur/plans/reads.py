@@ -160,7 +160,7 @@ def _graph(spark, sf):
 SELECT 't0' AS tenant_id, (SELECT count(DISTINCT account_id) FROM m) AS nodes,
  (SELECT count(*) FROM m x JOIN m y ON x.finding_id = y.finding_id
  AND x.account_id < y.account_id) AS edges, (SELECT count(DISTINCT finding_id) FROM m)
- AS clusters""",
+ AS clusters WHERE (SELECT count(*) FROM m) > 0""",
 )
 def graph_summary(spark, sf):
     return review.graph_summary(_graph(spark, sf))

@@ -13,6 +13,8 @@ def spark():
     from murmur.session import local_session
 
     session = local_session("tests")
+    # the tables are small; fewer tasks make the many queries quicker
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
