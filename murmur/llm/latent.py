@@ -2,7 +2,8 @@
 
 1. Benchmark items are cut into passages of at most ``PASSAGE`` words (half
    overlapping). Their terms are weighted by TF-IDF, with document frequencies
-   counted over all documents; terms in over ``COMMON`` of them weigh nothing.
+   counted over all documents. Common terms weigh little, but no term weighs
+   nothing: a passage copied into very many documents is made of common terms.
 2. A randomised SVD of the passage matrix (two power iterations) gives a latent
    space of up to ``RANK`` dimensions; a passage needs a direction of its own to be
    told from others, so at most ``RANK`` passages share a space. Every product with the matrix is a Spark
@@ -12,6 +13,7 @@
 3. Every document is read whole: windows of ``WINDOW`` words, ``STRIDE`` apart,
    are folded into the space, and passages with a cosine of ``COSINE`` or more
    are candidates, if the window holds ``COVER`` of the passage's latent weight.
+   Windows whose terms cannot add up to that for any passage are not folded.
 4. A candidate counts if the longest common subsequence of passage and the words
    around the window covers ``SAME`` of the passage, or ``PARAPHRASE`` of it while
    the answer check holds: of the passage's ``ANSWER`` rarest words and the words
@@ -19,8 +21,8 @@
    stretch may be at most ``LOOSE`` times as long as the passage.
 
 Benchmarks larger than ``BLOCK_CHARS`` are worked through in blocks of items, so
-what is sent to tasks is bounded. Passages with fewer than ``SHORT`` words, or
-without any weighted term, are searched for as whole runs of words instead.
+what is sent to tasks is bounded. Passages with fewer than ``SHORT`` words
+are searched for as whole runs of words instead.
 
 Words are lower-cased runs between white space and ASCII punctuation. Null and
 empty texts or items match nothing. Repeated rows give repeated hits; equal items
@@ -45,9 +47,6 @@ from murmur.llm.common import batch, documents, small_batches
 PASSAGE = 64
 WINDOW = 32
 STRIDE = 8
-COMMON = 0.05
-#: In a small corpus, terms of up to so many documents are never common.
-FEW = 50
 RANK = 256
 OVERSAMPLE = 16
 POWER = 2
@@ -172,6 +171,8 @@ class Space:
     vectors: np.ndarray
     norms: np.ndarray
     which: np.ndarray
+    #: The largest share of any passage's weight that one occurrence of a term adds.
+    most: np.ndarray
 
 
 @dataclass
@@ -186,14 +187,14 @@ class Index:
 
 
 def vector(ids: list[int], idf: np.ndarray) -> tuple[list[int], list[float]]:
-    counts = Counter(i for i in ids if idf[i] > 0)
+    counts = Counter(ids)
     return list(counts), [n * float(idf[i]) for i, n in counts.items()]
 
 
 def weights(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
-    """Inverse document frequencies; zero for common terms."""
+    """Inverse document frequencies, at least 1."""
     seen, total = frequencies(docs, terms)
-    return np.where(seen > max(COMMON * total, FEW), 0.0, np.log((total + 1) / (seen + 1)) + 1)
+    return np.log((total + 1) / (seen + 1)) + 1
 
 
 def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:
@@ -202,7 +203,7 @@ def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:
     idf = weights(docs, terms)
     number = {t: i for i, t in enumerate(terms)}
     rows = [vector([number[w] for w in p.words], idf) for p in passages]
-    usable = [i for i, (ids, _) in enumerate(rows) if ids and len(passages[i].words) >= SHORT]
+    usable = [i for i, p in enumerate(passages) if len(p.words) >= SHORT]
     plain = sorted(set(range(len(passages))) - set(usable))
     spaces = []
     for lo in range(0, len(usable), rank):
@@ -214,12 +215,16 @@ def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:
         right = randomised_svd(matrix, len(terms), len(some), rank)
         vectors = np.array([np.asarray(rows[i][1]) @ right[rows[i][0]] for i in some])
         norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+        fold = idf[:, None] * right
+        shares = (vectors / norms[:, None] ** 2).T
+        most = np.concatenate([(fold[at : at + 4096] @ shares).max(axis=1) for at in range(0, len(fold), 4096)])
         spaces.append(
             Space(
-                (idf[:, None] * right).astype(np.float32),
+                fold.astype(np.float32),
                 (vectors / norms[:, None]).astype(np.float32),
                 norms.astype(np.float32),
                 np.array(some),
+                np.maximum(most, 0),
             )
         )
     return Index(number, idf, passages, spaces, plain)
@@ -232,10 +237,23 @@ def candidates(space: Space, ids: np.ndarray) -> list[tuple[int, int, float]]:
         return []
     # sums by stride; a window is a run of them
     cell, first = np.unique(heavy // STRIDE, return_index=True)
-    sums = np.add.reduceat(space.fold[ids[heavy]], first, axis=0)
     reach = WINDOW // STRIDE
     begin = np.unique(np.concatenate([cell - d for d in range(reach)]))
     lo, hi = np.searchsorted(cell, begin), np.searchsorted(cell, begin + reach)
+    # no passage has more of its weight in a window than the most that its terms can add
+    most = np.concatenate([[0.0], np.cumsum(np.add.reduceat(space.most[ids[heavy]], first))])
+    able = most[hi] - most[lo] >= COVER - 1e-3
+    if not able.any():
+        return []
+    begin, lo, hi = begin[able], lo[able], hi[able]
+    edge = np.zeros(len(cell) + 1, dtype=np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi, -1)
+    needed = np.cumsum(edge[:-1]) > 0
+    heavy = heavy[np.repeat(needed, np.diff([*first, len(heavy)]))]
+    cell, first = np.unique(heavy // STRIDE, return_index=True)
+    lo, hi = np.searchsorted(cell, begin), np.searchsorted(cell, begin + reach)
+    sums = np.add.reduceat(space.fold[ids[heavy]], first, axis=0)
     run = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
     windows = (run[hi] - run[lo]).astype(np.float32)
     norms = np.linalg.norm(windows, axis=1)
@@ -311,7 +329,6 @@ def search_text(index: Index, text: str | None) -> list[tuple]:
         return []
     get = index.number.get
     ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
-    ids[(ids >= 0) & (index.idf[ids] <= 0)] = -1
     hits: dict = {}
     tried: dict[int, set] = {}
     every = [c for space in index.spaces for c in candidates(space, ids)]

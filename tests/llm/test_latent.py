@@ -77,6 +77,25 @@ def test_paraphrases_and_odd_rows(spark, block):
     assert {r.doc_id for r in left.collect()} == {*range(60), 102, 103, 104, 109}
 
 
+@pytest.mark.parametrize("share", [3, 1])
+def test_item_copied_into_many_rows_is_still_found_reworded(spark, share):
+    """A hot group makes every word of the item common; its paraphrases must still be found."""
+    rng = np.random.default_rng(11)
+    plain = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(plain, n))
+    words = ITEM.split()
+    rows = [(i, f"{text(40)} {ITEM if i % share == 0 else ''} {text(30)}") for i in range(300)]
+    for i in range(20):
+        new = list(words)
+        new[int(rng.integers(0, len(words) - 4))] = f"z{i}"
+        new.insert(int(rng.integers(2, 8)), f"y{i}")
+        rows.append((1000 + i, f"{text(50)} {' '.join(new)} {text(50)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
+    got = {r.doc_id for r in latent.search(docs, items).collect() if r.item_id == 1}
+    assert got == {i for i in range(300) if i % share == 0} | set(range(1000, 1020))
+
+
 def test_empty_tables(spark):
     docs, items = corpus(spark)
     assert latent.search(docs.limit(0), items).count() == 0
