@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import hostrules, language, latent, packing, quality, quotes, secrets, simhash, sitetree, surrogates
+from murmur.llm import (
+    divergence, hostrules, language, latent, packing, quality, quantised, quotes, resample, secrets, simhash, sitetree,
+    surrogates,
+)
 from murmur.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +92,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_regular_sampling_resampling", resample.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document, and the rank of those that are drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_product_quantisation", quantised.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector."""
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_source_divergence", divergence.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
