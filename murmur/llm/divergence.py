@@ -16,9 +16,9 @@ missing, and corrected:
 
 The last is found by the tree. A term's row lists the sources in which it occurs, in
 order, each with its p and z; equal rows are merged with their multiplicity. In sorted
-order rows with a common beginning follow each other, so a task walks its range of the
-rows as a depth-first visit of the tree and holds the path alone. When a node is left,
-its corrections with all its ancestors are added at once, times the rows below it.
+order rows with a common beginning follow each other, so a task builds the tree by a
+depth-first walk over its range of the rows, ``HELD`` entries at a time. Each node gives
+its correction with each of its ancestors once, times the terms below it.
 Rows are dealt by range of the whole row, so a beginning that a third of the rows share
 is cut where it has to be; corrections add up, whatever the cut.
 
@@ -49,8 +49,10 @@ from murmur.session import materialise
 LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
-#: Counts that a task holds before it passes them on.
+#: Counts, or entries of rows, that a task holds before it passes them on.
 HELD = 500_000
+#: Pairs of a node and an ancestor that are worked out at a time.
+PAIRS = 1_000_000
 
 WORD = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -67,33 +69,30 @@ def term_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # both counters of a group see new terms in the same order
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
-        def passed_on() -> pa.RecordBatch:
-            out: dict[str, list] = {f.name: [] for f in COUNTED}
+        def passed_on() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, in_docs) in held.items():
-                out["lang"] += [lang] * len(n)
-                out["source"] += [source] * len(n)
-                out["term"] += [t.decode() for t in n]
-                out["n"] += n.values()
-                out["docs"] += [in_docs[t] for t in n]
+                columns = {"lang": pa.repeat(lang, len(n)), "source": pa.repeat(source, len(n))}
+                columns["term"] = pa.array(list(n), pa.binary()).cast(pa.string())
+                yield batch(COUNTED, columns | {"n": list(n.values()), "docs": list(in_docs.values())})
             held.clear()
-            return batch(COUNTED, out)
 
         for part in batches:
             keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True)
             for lang, source, text in keys:
                 n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
                 before = len(n)
-                found = Counter(terms_of(text.as_py()))
+                found = terms_of(text.as_py())
                 n.update(found)
-                in_docs.update(found.keys())
+                in_docs.update(dict.fromkeys(found).keys())
                 size += len(n) - before
                 if size > HELD:
-                    yield passed_on()
+                    yield from passed_on()
                     size = 0
-        yield passed_on()
+        yield from passed_on()
 
     return (
         rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -121,60 +120,59 @@ def _apart(p, q):
     return (p - q) * (p - q) // (p + q)
 
 
-class Tree:
-    """The path of a depth-first walk; what nodes add to pairs of sources when they are left."""
-
-    def __init__(self):
-        self.place: dict[str, int] = {}
-        self.names: list[str] = []
-        self.path: list[tuple[str, int, int]] = []
-        # arrays beside the path: source's place, p and z of each node, rows below it
-        self.at, self.p, self.z, self.below = (np.zeros(64, dtype=np.int64) for _ in range(4))
-        self.sums: dict[int, np.ndarray] = {}
-
-    def enter(self, path: list[tuple[str, int, int]], times: int) -> None:
-        """The next row in sorted order, which ``times`` terms have."""
-        shared = 0
-        for x, y in zip(self.path, path):
-            if x != y:
-                break
-            shared += 1
-        self.leave(shared)
-        if len(path) > len(self.at):
-            self.at, self.p, self.z, self.below = (np.concatenate([c, np.zeros(len(path), dtype=np.int64)]) for c in (self.at, self.p, self.z, self.below))
-        for i, (source, p, z) in enumerate(path[shared:], shared):
-            if source not in self.place:
-                self.place[source] = len(self.names)
-                self.names.append(source)
-            self.at[i], self.p[i], self.z[i], self.below[i] = self.place[source], p, z, 0
-        self.path = path
-        self.below[: len(path)] += times
-
-    def leave(self, depth: int) -> None:
-        for i in range(len(self.path) - 1, max(depth, 1) - 1, -1):
-            p, z, q, y = self.p[i], self.z[i], self.p[:i], self.z[:i]
-            found = _apart(p, q) - _apart(p, y) - _apart(z, q) + _apart(z, y)
-            own = int(self.at[i])
-            sums = self.sums.get(own)
-            if sums is None or len(sums) < len(self.names):
-                grown = np.zeros(2 * len(self.names), dtype=np.int64)
-                if sums is not None:
-                    grown[: len(sums)] = sums
-                self.sums[own] = sums = grown
-            sums[self.at[:i]] += self.below[i] * found  # a path names a source once
-        self.path = self.path[:depth]
-
-    def size(self) -> int:
-        return sum(map(len, self.sums.values()))
-
-    def taken(self, lang: str) -> pa.RecordBatch:
-        out: dict[str, list] = {f.name: [] for f in SHARED}
-        for b, sums in self.sums.items():
-            for a in np.flatnonzero(sums).tolist():
-                for name, value in zip(out, (lang, self.names[a], self.names[b], int(sums[a])), strict=True):
-                    out[name].append(value)
-        self.sums.clear()
-        return batch(SHARED, out)
+def shared_beginnings(offsets: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """How many leading entries each row has in common with the row before it."""
+    sizes = np.diff(offsets)
+    n = np.minimum(sizes[1:], sizes[:-1])
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+    here, before = np.repeat(offsets[1:-1], n) + at, np.repeat(offsets[:-2], n) + at
+    differs = np.zeros(len(at), dtype=bool)
+    for c in columns:
+        differs |= c[here] != c[before]
+    row = np.repeat(np.arange(len(n)), n)[differs]
+    first, where = np.unique(row, return_index=True)
+    out = n.copy()
+    out[first] = at[differs][where]
+    return np.concatenate([[0], out])
+
+
+def nodes_of(offsets: np.ndarray, shared: np.ndarray, times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of sorted rows: each node's entry in its first row, and the terms in its subtree."""
+    path: list[tuple[int, int]] = []
+    entry, below, total = [], [], 0
+    for start, end, depth, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), shared.tolist(), times, strict=True):
+        while len(path) > depth:
+            at, before = path.pop()
+            entry.append(at)
+            below.append(total - before)
+        path += [(at, total) for at in range(start + depth, end)]
+        total += n
+    entry += [at for at, _ in path]
+    below += [total - before for _, before in path]
+    return np.array(entry, dtype=np.int64), np.array(below, dtype=np.int64)
+
+
+def corrections(offsets: np.ndarray, source: np.ndarray, p: np.ndarray, z: np.ndarray, times: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, value) of the sorted rows: every node once with each of its ancestors."""
+    entry, below = nodes_of(offsets, shared_beginnings(offsets, [source, p, z]), times)
+    start = offsets[np.searchsorted(offsets, entry, "right") - 1]
+    depth = entry - start
+    width = int(source.max(initial=0)) + 1
+    cuts = np.searchsorted(np.cumsum(depth), np.arange(1, depth.sum() // PAIRS + 1) * PAIRS)
+    for some in np.split(np.arange(len(entry)), np.unique(cuts)):
+        d = depth[some]
+        own = np.repeat(entry[some], d)
+        above = np.repeat(start[some] - np.cumsum(d) + d, d) + np.arange(d.sum())
+        if not len(own):
+            continue
+        value = _apart(p[own], p[above]) - _apart(p[own], z[above]) - _apart(z[own], p[above]) + _apart(z[own], z[above])
+        value *= np.repeat(below[some], d)
+        key = source[above] * width + source[own]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        yield key[first] // width, key[first] % width, np.add.reduceat(value[order], first)
 
 
 def shared_terms(counts: DataFrame) -> DataFrame:
@@ -185,38 +183,54 @@ def shared_terms(counts: DataFrame) -> DataFrame:
     dealt = materialise(merged, "divergence-rows").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, tree = None, Tree()
+        held: list[pa.RecordBatch] = []
+
+        def trees() -> Iterator[pa.RecordBatch]:
+            every = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            langs = every.column("lang").to_pylist()
+            cuts = [i for i in range(1, len(langs)) if langs[i] != langs[i - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(langs)], strict=True):
+                paths = every.column("path").slice(lo, hi - lo).combine_chunks()
+                entries = paths.flatten()
+                names = entries.field("source").dictionary_encode()
+                where = names.indices.to_numpy().astype(np.int64)
+                offsets = paths.offsets.to_numpy().astype(np.int64)
+                p, z = (entries.field(c).to_numpy() for c in ("p", "z"))
+                times = every.column("times").slice(lo, hi - lo).to_pylist()
+                for a, b, value in corrections(offsets - offsets[0], where, p, z, times):
+                    yield batch(SHARED, {
+                        "lang": pa.repeat(langs[lo], len(a)), "a": names.dictionary.take(pa.array(a)),
+                        "b": names.dictionary.take(pa.array(b)), "value": value,
+                    })
+
+        size = 0
         for part in batches:
-            paths = part.column("path")
-            offsets = paths.offsets.to_numpy()
-            source, p, z = (paths.values.field(c) for c in ("source", "p", "z"))
-            for i, (key, times) in enumerate(zip(part.column("lang").to_pylist(), part.column("times").to_pylist(), strict=True)):
-                if key != lang:
-                    tree.leave(0)
-                    yield tree.taken(lang)
-                    lang, tree = key, Tree()
-                lo, n = int(offsets[i]), int(offsets[i + 1] - offsets[i])
-                columns = (c.slice(lo, n).to_pylist() for c in (source, p, z))
-                tree.enter(list(zip(*columns, strict=True)), times)
-                if tree.size() > 4 * HELD:
-                    yield tree.taken(lang)
-        tree.leave(0)
-        yield tree.taken(lang)
+            held.append(part)
+            size += len(part.column("path").flatten())
+            if size > HELD:
+                yield from trees()
+                size = 0
+        if held:
+            yield from trees()
 
     return dealt.mapInArrow(run, "lang string, a string, b string, value long")
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value`` and ``rank``; see the module."""
-    found = materialise(term_counts(docs), "divergence-counts")
-    terms = (
-        found.groupBy("lang", "term")
-        .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= least)
-        .drop("docs")
+    # one shuffle by term says which are kept and how often the language has them
+    by_term = Window.partitionBy("lang", "term")
+    kept = materialise(
+        term_counts(docs)
+        .withColumn("lang_n", F.sum("n").over(by_term))
+        .withColumn("lang_docs", F.sum("docs").over(by_term))
+        .withColumn("first", F.min("source").over(by_term) == F.col("source"))
+        .where(F.col("lang_docs") >= least)
+        .select("lang", "source", "term", "n", "lang_n", "first"),
+        "divergence-kept",
     )
-    kept = found.drop("docs").join(terms, ["lang", "term"])
-    by_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    by_lang = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     names = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = materialise(
         names.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")

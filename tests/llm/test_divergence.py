@@ -72,23 +72,23 @@ def test_a_node_is_counted_once_for_all_rows_below_it():
     rows = Counter()
     for _ in range(3000):
         rows[tuple((s, int(10 + 5 * rng.integers(3)), 7) for s in "abcdef" if rng.random() < 0.7)] += 1
-    steps = 0
-
-    class Counted(divergence.Tree):
-        def leave(self, depth):
-            nonlocal steps
-            steps += sum(range(max(depth, 1), len(self.path)))
-            super().leave(depth)
-
-    tree = Counted()
-    for path in sorted(rows):
-        tree.enter(list(path), rows[path])
-    tree.leave(0)
-    got = {tuple(sorted((r["a"], r["b"]))): r["value"] for r in tree.taken("x").to_pylist()}
+    paths = sorted(rows)
+    offsets = np.cumsum([0, *map(len, paths)])
+    columns = list(np.array([(ord(s) - 97, p, z) for path in paths for s, p, z in path]).T)
+    times = [rows[path] for path in paths]
+    got = Counter()
+    for a, b, value in divergence.corrections(offsets, *columns, times):
+        for i, j, v in zip(a.tolist(), b.tolist(), value.tolist(), strict=True):
+            got[chr(97 + i), chr(97 + j)] += v
     f = divergence._apart
     want = Counter()
     for path, n in rows.items():
         for (a, p, z), (b, q, y) in itertools.combinations(path, 2):
             want[a, b] += n * (f(p, q) - f(p, y) - f(z, q) + f(z, y))
-    assert got == {k: v for k, v in want.items() if v}
-    assert steps < sum(len(p) * (len(p) - 1) // 2 for p in rows)
+    assert got == want
+    entry, below = divergence.nodes_of(offsets, divergence.shared_beginnings(offsets, columns), times)
+    beginnings = Counter()
+    for path, n in rows.items():
+        for i in range(len(path)):
+            beginnings[path[: i + 1]] += n
+    assert sorted(below.tolist()) == sorted(beginnings.values()) and len(entry) < offsets[-1]
