@@ -1,13 +1,16 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, by prefix filtering. Shingles have one order for all texts. Two texts with a
-similarity of at least t share at least t of the shingles of either, so the first
-they share is among the first ``n - ceil(t n) + 1`` of both. Every text is listed
-under those of its shingles, and only texts under the same one are compared; none
-that is similar enough is missed. Shingles of one text alone come first in the order, as
-a bitmap of ``CELLS`` bits tells, and those that a sample of the texts shows to be
-frequent come last, so shared passages and common lines seldom list texts together.
-Bitmap and sample decide about work, not about results.
+Candidates come from two sketches of a text's shingles, made in one pass:
+
+* its SimHash fingerprint, linked within three bits by covering anchors
+  (:mod:`murmur.llm.simhash`), which finds most of the closest copies at one row each;
+* ``BANDS`` bands of ``ROWS`` minimum hashes, as at a similarity of 0.8 fingerprints
+  differ in some ten bits, beyond what anchors can cover. A pair at 0.8 shares no band
+  with probability (1 - 0.8^4)^24 = 3.2e-6, a closer one with less.
+
+Every candidate is then compared by its whole sets of shingles, so nothing below 0.8 is
+linked. Shared passages and common lines do not list texts together unless most of the
+shingles agree.
 
 Equal word sequences are merged first. Lists with the same members count once. Each
 member is compared with the smallest of its list; only lists whose members are then
@@ -30,18 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm import simhash
 from murmur.llm.common import batch, components, documents, small_batches
 from murmur.session import materialise
 
 WIDTH = 5
 SEED = 42
 HOMES = 4096
-#: One text in so many tells which shingles are frequent; how many of them are kept.
-SAMPLE = 16
-FREQUENT, MOST = 4, 100_000
-#: Bits of the bitmap of repeated shingles, and of one block of it.
-CELLS, BLOCK_CELLS = 1 << 28, 1 << 16
-#: Texts to compare that are named to tasks; more are found by a shuffle join.
+BANDS, ROWS = 24, 4
+#: Shingles that are hashed at a time.
+PIECE = 8192
+#: Texts to compare that are named to tasks, as a sorted array of longs; more are found by a shuffle join.
 NAMED = 1_000_000
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -77,99 +79,61 @@ def alike(shared, n, m):
     return 9 * shared >= 4 * (n + m)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many sampled texts hold, in order, and their counts."""
+_RANDOM = np.random.default_rng(SEED)
+#: Odd factors and summands of the hash functions.
+FACTORS, SUMMANDS = (_RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+FACTORS |= np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for text in rows.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(words_of(text)))], names=["h"])
 
-    sample = documents(docs).select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates()
-    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = sorted((r.h, r.n) for r in found.orderBy(F.desc("n"), "h").limit(MOST).collect())
-    return np.array([h for h, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
+def bands_of(found: np.ndarray) -> list[int]:
+    """Hash of each band of minimum hashes of a set of shingles."""
+    values = found.view(np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(values), PIECE):
+        mixed = values[i : i + PIECE, None] * FACTORS
+        mixed += SUMMANDS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def repeated(docs: DataFrame) -> np.ndarray:
-    """Bitmap with the bits of all shingles that more than one row holds."""
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, the bits of an unsigned value as a long."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(found), PIECE):
+        ones += np.unpackbits(found[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for text in rows.column(1).to_pylist():
-                # 40 bits are enough here and travel lighter
-                found = np.unique(shingles(words_of(text)).view(np.uint64) >> np.uint64(24)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for rows in batches:
-            cells = rows.column(1).to_numpy()
-            where = cells // BLOCK_CELLS
-            for block in np.unique(where).tolist():
-                bits = blocks.setdefault(block, np.zeros(BLOCK_CELLS, dtype=bool))
-                bits[cells[where == block] % BLOCK_CELLS] = True
-                if len(blocks) > 256:
-                    yield written(blocks)
-                    blocks.clear()
-        yield written(blocks)
-
-    def written(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(blocks), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in blocks.values()], pa.binary())],
-            names=["block", "bits"],
-        )
-
-    many = documents(docs).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    cell = F.pmod(F.col("h"), F.lit(CELLS))
-    dealt = many.select(F.floor(cell / BLOCK_CELLS).alias("block"), cell.alias("cell"))
-    dealt = dealt.repartition("block").sortWithinPartitions("block")
-    out = np.zeros(CELLS // 8, dtype=np.uint8)
-    size = BLOCK_CELLS // 8
-    for r in dealt.mapInArrow(pack, "block long, bits binary").toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] |= np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    return out
-
-
-def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """The shingles of a text under which it is listed."""
-    n = len(found)
-    size = n - (4 * n + 4) // 5 + 1
-    if n:
-        cells = ((found.view(np.uint64) >> np.uint64(24)) % np.uint64(CELLS)).astype(np.int64)
-        rank = (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            rank += np.where(known[at] == found, counts[at], 0)
-        found = found[np.lexsort((found, rank))]
-    return found[:size]
-
-
-def listed(docs: DataFrame) -> DataFrame:
-    """Distinct (h, node, size): the texts under each shingle, with their number of shingles."""
-    known, counts = frequent(docs)
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated(docs))
+SKETCHES = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Distinct (node, size, fp, bands): the number of shingles and both sketches of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            seen, hashes, sizes = {}, [], []
-            for text in rows.column(1).to_pylist():
-                words = words_of(text)
+            out: dict[str, list] = {f.name: [] for f in SKETCHES}
+            seen = set()
+            for text in rows.column(1):
+                words = words_of(text.as_py())
                 node = node_of(words)
                 if words and node not in seen:
+                    seen.add(node)
                     found = shingles(words)
-                    hashes.append(prefix(found, known, counts, bitmap.value))
-                    sizes.append(len(found))
-                    seen[node] = len(hashes[-1])
-            if seen:
-                often = list(seen.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(list(seen), dtype=np.int64), often)),
-                     pa.array(np.repeat(np.array(sizes, dtype=np.int64), often))],
-                    names=["h", "node", "size"],
-                )
+                    for name, value in zip(out, (node, len(found), fingerprint(found), bands_of(found)), strict=True):
+                        out[name].append(value)
+            yield batch(SKETCHES, out)
 
-    return documents(docs).mapInArrow(run, "h long, node long, size long").distinct()
+    found = documents(docs).mapInArrow(run, "node long, size long, fp long, bands array<long>")
+    return materialise(found.dropDuplicates(["node"]), "overlap-sketches")
+
+
+def anchored_pairs(drawn: DataFrame) -> DataFrame:
+    """(a, b) that covering anchors connect: fingerprints within three bits, and texts with the same one."""
+    heads = materialise(drawn.groupBy("fp").agg(F.min("node").alias("head")), "overlap-prints")
+    same = drawn.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return simhash.links(heads.select("fp", F.col("head").alias("node"))).where("a <> b").union(same)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,7 +141,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     named = None
     if wanted.limit(NAMED + 1).count() <= NAMED:
-        named = spark.sparkContext.broadcast(np.array(sorted(r.node for r in wanted.collect()), dtype=np.int64))
+        named = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("node").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -273,7 +237,9 @@ def throughout(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     """Edges (a, b) that connect the nodes which pairs of similar texts connect."""
     small_batches(docs.sparkSession)
-    lists = materialise(listed(docs), "overlap-listed")
+    drawn = sketches(docs)
+    near = 5 * F.least("size", "other.size") >= 4 * F.greatest("size", "other.size")
+    lists = drawn.select(F.explode("bands").alias("h"), "node", "size")
     # same members, same marks: of such lists one is enough
     marks = lists.groupBy("h").agg(
         F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("leader"),
@@ -281,9 +247,22 @@ def links(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     ).where("n > 1")
     buckets = materialise(marks.groupBy("n", "leader", "x", "y").agg(F.min("h").alias("h")).select("h", "n", "leader"), "overlap-buckets")
     members = materialise(lists.join(buckets, "h").select(F.col("h").alias("bucket"), "n", "leader", "node", "size"), "overlap-members")
-    sets = materialise(sets_of(docs, members.select("node").distinct()), "overlap-sets")
-    near = 5 * F.least("size", "leader.size") >= 4 * F.greatest("size", "leader.size")
-    pairs = members.where((F.col("node") != F.col("leader.node")) & near).select(F.col("leader.node").alias("leader"), "node").distinct()
+    led = members.withColumnRenamed("leader", "other").where((F.col("node") != F.col("other.node")) & near)
+    sizes = drawn.select("node", "size")
+    anchored = (
+        anchored_pairs(drawn)
+        .join(sizes.withColumnRenamed("node", "b"), "b")
+        .join(sizes.select(F.col("node").alias("a"), F.struct("node", "size").alias("other")), "a")
+        .where(near)
+    )
+    pairs = materialise(
+        led.select(F.col("other.node").alias("leader"), "node")
+        .union(anchored.select(F.col("a").alias("leader"), F.col("b").alias("node")))
+        .distinct(),
+        "overlap-pairs",
+    )
+    wanted = members.select("node").union(pairs.select("node")).union(pairs.select("leader")).distinct()
+    sets = materialise(sets_of(docs, wanted), "overlap-sets")
     shared = F.size(F.array_intersect("shingles", "others"))
     first = materialise(
         pairs.join(sets, "node")

@@ -72,3 +72,18 @@ def test_stage_finds_every_pair_of_the_given_table(spark):
     assert got(spark, rows) == brute(rows)
     assert got(spark, rows[:1]) == [(rows[0][0], rows[0][0])]
     assert overlap.near_copies(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Share of pairs of a similarity of just 0.8 with a band in common, and what the fingerprint finds of close ones."""
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(300):
+        values = rng.integers(-(2**63), 2**63, 440)
+        a, b = np.unique(values[:400]), np.unique(values[40:])
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) > 0.8
+        met += bool(set(overlap.bands_of(a)) & set(overlap.bands_of(b)))
+    assert met == 300
+    found = overlap.shingles([b"w%d" % i for i in range(30_000)])
+    assert overlap.bands_of(found) == overlap.bands_of(found[::1].copy()) and len(set(overlap.bands_of(found))) == overlap.BANDS
+    assert overlap.fingerprint(found) == overlap.fingerprint(np.sort(found))

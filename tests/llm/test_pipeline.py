@@ -1,5 +1,5 @@
 import corpus_pipeline
-from murmur.llm import language, latent, packing, secrets, simhash, stages
+from murmur.llm import language, latent, packing, secrets, stages
 
 
 def test_stages_against_plain_versions(spark, sf):
@@ -11,15 +11,15 @@ def test_stages_against_plain_versions(spark, sf):
     after = stages.language(spark, docs, sf)
     assert {r.doc_id: r.text for r in after.collect()} == left and after.columns == docs.columns
 
-    prints = {i: simhash.fingerprint(t) for i, t in left.items()}
+    sets = {}
+    for i, t in left.items():
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    near = [(i, j) for i in left for j in left if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     low = {i: i for i in left}
-    moved = True
-    while moved:
-        moved = False
-        for i in left:
-            near = min(low[j] for j in left if bin(prints[i] ^ prints[j]).count("1") <= 3)
-            if near < low[i]:
-                low[i], moved = near, True
+    while moved := [(i, j) for i, j in near if low[i] != low[j]]:
+        for i, j in moved:
+            low[i] = low[j] = min(low[i], low[j])
     left = {i: t for i, t in left.items() if low[i] == i}
     after = stages.near_duplicates(spark, after, sf)
     assert {r.doc_id: r.text for r in after.collect()} == left and after.columns == docs.columns
