@@ -99,29 +99,22 @@ def decide(
             F.col("granted_to").alias("user_id"), "tenant_id",
             F.explode("permissions").alias("permission"), "expires_at",
         )
-        .where("tenant_id is not null and permission is not null")
         .groupBy("user_id", "tenant_id", "permission")
         .agg(F.max("expires_at").alias("granted_until"))
-        .groupBy("user_id")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct(F.struct("tenant_id", "permission"), "granted_until"))
-            ).alias("grants_held")
-        )
     )
     assigned = (
-        live_assignments(assignments, projects)
-        .groupBy("user_id")
-        .agg(F.collect_set("project_id").alias("projects_held"))
+        live_assignments(assignments, projects).select("user_id", "project_id").distinct()
+        .withColumn("assigned", F.lit(True))
     )
-    # one row per user, as long as the user's grants and projects; requests are shuffled once
-    per_user = (
-        who.join(held, "user_id", "left").join(given, "user_id", "left").join(assigned, "user_id", "left")
+    # Facts have one row per key, so every join keeps the requests' rows; a user with very many
+    # grants, projects or requests is split by the skew join, as no fact is a user's whole list.
+    facts = (
+        requests.join(who.join(held, "user_id", "left"), "user_id", "left")
+        .join(given, ["user_id", "tenant_id", "permission"], "left")
+        .join(assigned, ["user_id", "project_id"], "left")
     )
-    facts = requests.join(per_user, "user_id", "left")
-    granted_until = F.try_element_at("grants_held", F.struct("tenant_id", "permission"))
-    by_grant = F.coalesce(F.col("asked_at") < granted_until, F.lit(False))
-    in_project = F.coalesce(F.array_contains("projects_held", F.col("project_id")), F.lit(False))
+    by_grant = F.coalesce(F.col("asked_at") < F.col("granted_until"), F.lit(False))
+    in_project = F.coalesce("assigned", F.lit(False))
     by_role = F.coalesce(F.array_contains("held", F.col("permission")), F.lit(False))
     reads_data = F.col("permission").isin(DATA_PERMISSIONS)
     reason = (

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import moments
-from murmur.sources.tables import END_MONTH, FIRST_MONTH
 
 # Thresholds of the baseline.
 MINIMUM_SAMPLES = 3
@@ -16,34 +15,78 @@ MINIMUM_COVERAGE = 0.8
 STALE_AFTER_DAYS = 7
 
 
-def hourly_counts(
-    obs: DataFrame, first: str = FIRST_MONTH, end: str = END_MONTH
-) -> DataFrame:
+HOURS_OF_WEEK = 168
+
+
+def busy_hours(obs: DataFrame) -> DataFrame:
+    """Items per source and hour, for hours that have any."""
+    return obs.where(F.col("posted_at").isNotNull()).groupBy(
+        "source_id", F.date_trunc("hour", "posted_at").alias("hour")
+    ).agg(F.count("*").alias("items"))
+
+
+def spans(busy: DataFrame) -> DataFrame:
+    """First and last busy hour of every source."""
+    return busy.groupBy("source_id").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+
+
+def hourly_counts(obs: DataFrame) -> DataFrame:
     """Items per source and hour; hours of silence inside the observed span count as 0.
 
-    The calendar is built from each source's first and last hour, so it is as large as
-    sources times hours, whatever the number of items. Only the months content is expected in
-    are filled: one wrong date would stretch a calendar over millennia. What lies outside is
-    reported by :func:`murmur.sources.tables.out_of_range`.
+    The rows of silent hours are the result here. What only needs the norm takes
+    :func:`span_profile`, which makes no such rows.
     """
-    moment = F.col("posted_at")
-    expected = (moment >= F.lit(first).cast("timestamp")) & (moment < F.lit(end).cast("timestamp"))
-    busy = obs.where(expected).groupBy("source_id", F.date_trunc("hour", "posted_at").alias("hour")).agg(
-        F.count("*").alias("items")
-    )
-    calendar = (
-        busy.groupBy("source_id")
-        .agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-        .select(
-            "source_id",
-            F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("hour"),
-        )
+    busy = busy_hours(obs)
+    calendar = spans(busy).select(
+        "source_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("hour")
     )
     return calendar.join(busy, ["source_id", "hour"], "left").select(
         "source_id", "hour", F.coalesce("items", F.lit(0).cast("long")).alias("items")
     )
 
 
+def span_profile(busy: DataFrame) -> DataFrame:
+    """The profile of :func:`volume_profile` over the zero-filled hours, without filling them.
+
+    How often an hour of the week lies between a source's first and last hour is arithmetic,
+    and silent hours add nothing to sums of items and squares. So the work follows the busy
+    hours, whatever the span: one wrong date costs nothing. Sums are exact.
+    """
+    how = moments.hour_of_week(F.col("hour"))
+    items = F.col("items").cast("decimal(19,0)")
+    sums = busy.groupBy("source_id", how.alias("hour_of_week")).agg(
+        F.sum("items").alias("s1"), F.sum(items * items).cast("decimal(38,0)").alias("s2")
+    )
+    length = F.floor((F.unix_timestamp("hi") - F.unix_timestamp("lo")) / 3600)
+    offset = F.pmod(F.col("hour_of_week") - moments.hour_of_week(F.col("lo")), F.lit(HOURS_OF_WEEK))
+    every = (
+        spans(busy)
+        .withColumn("hour_of_week", F.explode(F.sequence(F.lit(0), F.lit(HOURS_OF_WEEK - 1))))
+        .select("source_id", "hour_of_week", (F.floor((length - offset) / HOURS_OF_WEEK) + 1).alias("samples"))
+        .where("samples > 0")
+    )
+    n = F.col("samples")
+    s1, s2 = F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0).cast("decimal(38,0)"))
+    # n s2 - s1^2 in whole numbers, so a flat hour has a deviation of exactly zero
+    spread = n.cast("decimal(10,0)") * s2.cast("decimal(28,0)") - s1.cast("decimal(19,0)") * s1.cast("decimal(19,0)")
+    return every.join(sums, ["source_id", "hour_of_week"], "left").select(
+        "source_id", "hour_of_week", "samples",
+        (s1 / n).alias("mean"), (F.sqrt(spread.cast("double")) / n).alias("stdev"),
+    )
+
+
+def scores_at(asked: DataFrame, busy: DataFrame) -> DataFrame:
+    """``z`` of the (source_id, hour) rows in ``asked`` that lie in their source's span."""
+    inside = (
+        asked.select("source_id", "hour").distinct().join(spans(busy), "source_id")
+        .where("hour between lo and hi").select("source_id", "hour")
+    )
+    counts = inside.join(busy, ["source_id", "hour"], "left").select(
+        "source_id", "hour", F.coalesce("items", F.lit(0).cast("long")).alias("items")
+    )
+    return z_scores(counts, span_profile(busy))
+
+
 def volume_profile(counts: DataFrame) -> DataFrame:
     """Per source and hour of week: samples, mean, population deviation."""
     return counts.groupBy(
@@ -119,9 +162,10 @@ def ready_only(obs: DataFrame, readiness_by_scope: DataFrame, scope: list[str])
     return obs.join(readiness_by_scope.where("may_fire").select(*scope), scope, "left_semi")
 
 
-def volume_signal(finding_sources: DataFrame, scored: DataFrame, threshold: float = FLAT_Z):
+def volume_signal(finding_sources: DataFrame, busy: DataFrame, threshold: float = FLAT_Z):
     """Optional fourth signal: the z-score of the hour a cluster falls in. Off by default."""
     hours = finding_sources.withColumn("hour", F.date_trunc("hour", "window_start"))
+    scored = scores_at(hours, busy)
     return hours.join(scored.select("source_id", "hour", "z"), ["source_id", "hour"], "left").select(
         "finding_id",
         F.struct(

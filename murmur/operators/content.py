@@ -123,19 +123,28 @@ def reprocess_outcomes(stored: DataFrame, parsed: DataFrame) -> DataFrame:
         .when(F.col("stored_version") < F.col("extractor_version"), F.lit("updated"))
         .otherwise(F.lit("unchanged"))
     )
-    found = parsed.join(old, ["tenant_id", "capture_id", "content_id"], "left").withColumn(
-        "outcome", outcome
-    )
-    # readings of one item; a capture lists it once as a rule
+    found = _numbered(parsed).join(old, ["tenant_id", "capture_id", "content_id"], "left")
+    found = found.withColumn("outcome", outcome)
+    later = (F.col("outcome") == "updated") & (F.col("reading") > 1)
+    return found.withColumn("outcome", F.when(later, F.lit("unchanged")).otherwise(F.col("outcome")))
+
+
+def _numbered(parsed: DataFrame) -> DataFrame:
+    """``reading`` 1, 2, 3 ... of an item that its capture lists more than once, else 1.
+
+    Their order is that of the list (``ordinal``), else of a digest of what they say. Only
+    keys are counted and only those of repeated items are sorted; no text is.
+    """
     item = ["tenant_id", "capture_id", "content_id", "posted_at"]
-    order = F.col("ordinal") if "ordinal" in parsed.columns else F.xxhash64(*parsed.columns)
-    turn = F.row_number().over(Window.partitionBy(*item).orderBy(order))
-    later = (F.col("outcome") == "updated") & (F.col("turn") > 1)
-    return (
-        found.withColumn("turn", turn)
-        .withColumn("outcome", F.when(later, F.lit("unchanged")).otherwise(F.col("outcome")))
-        .withColumn("reading", F.col("turn"))
-        .drop("turn")
+    rows = parsed
+    if "ordinal" not in parsed.columns:
+        rows = parsed.withColumn("ordinal", F.xxhash64(*[c for c in parsed.columns if c not in ("text", *item)]))
+    keys = rows.groupBy(*item, "ordinal").agg(F.count("*").alias("copies"))
+    repeated = rows.groupBy(*item).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    turn = F.sum("copies").over(Window.partitionBy(*item).orderBy("ordinal")) - F.col("copies") + 1
+    turns = keys.join(repeated, item, "left_semi").withColumn("reading", turn).drop("copies")
+    return rows.join(turns, [*item, "ordinal"], "left").withColumn("reading", F.coalesce("reading", F.lit(1))).select(
+        *parsed.columns, "reading"
     )
 
 

@@ -207,13 +207,32 @@ _HOURLY = """WITH b AS (SELECT event_type AS source_id, date_trunc('hour', ts) A
  round(stdev, 9) AS stdev FROM p""",
 )
 def baseline_profile(spark, sf):
-    profile = baseline.volume_profile(baseline.hourly_counts(sample.observations(spark, sf)))
+    return _profile(baseline.span_profile(baseline.busy_hours(sample.observations(spark, sf))))
+
+
+def _profile(profile):
     return profile.select(
         "source_id", F.col("hour_of_week").cast("long").alias("hour_of_week"), "samples",
         F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"),
     )
 
 
+_YEARS = "(SELECT event_type, ts + (user_id % 5 - 2) * INTERVAL 1 YEAR AS ts FROM events WHERE event_type <> 'view')"
+
+
+@query(
+    "baseline_profile_years",
+    _HOURLY.replace("FROM events", f"FROM {_YEARS}")
+    + """ SELECT source_id, CAST(how AS BIGINT) AS hour_of_week, samples, round(mean, 9) AS mean,
+ round(stdev, 9) AS stdev FROM p""",
+)
+def baseline_profile_years(spark, sf):
+    """The profile over items of five years, most of them outside the expected months."""
+    obs = sample.observations(spark, sf).where("source_id <> 'view'")
+    year = F.make_interval(F.pmod(F.substring("account_id", 2, 20).cast("int"), F.lit(5)) - 2)
+    return _profile(baseline.span_profile(baseline.busy_hours(obs.withColumn("posted_at", F.col("posted_at") + year))))
+
+
 @query(
     "baseline_z",
     _HOURLY
@@ -223,8 +242,8 @@ def baseline_profile(spark, sf):
  FROM h JOIN p ON p.source_id = h.source_id AND p.how = h.how""",
 )
 def baseline_z(spark, sf):
-    counts = baseline.hourly_counts(sample.observations(spark, sf))
-    scored = baseline.z_scores(counts, baseline.volume_profile(counts))
+    obs = sample.observations(spark, sf)
+    scored = baseline.z_scores(baseline.hourly_counts(obs), baseline.span_profile(baseline.busy_hours(obs)))
     return scored.select(
         "source_id", plain("hour").alias("hour"), "items", F.round("z", 9).alias("z")
     )
@@ -245,10 +264,8 @@ SELECT {FINDING_ID} AS finding_id, round(z.z, 9) AS z, z.z >= 3.0 AS passed FROM
 def volume_signals(spark, sf):
     """The optional fourth signal: is the hour unusual for the source?"""
     obs = sample.observations(spark, sf)
-    counts = baseline.hourly_counts(obs)
-    scored = baseline.z_scores(counts, baseline.volume_profile(counts))
     found = burst.detect(obs, DEFAULT)
-    return baseline.volume_signal(found, scored).select(
+    return baseline.volume_signal(found, baseline.busy_hours(obs)).select(
         "finding_id", F.round("signal.observed", 9).alias("z"), F.col("signal.passed").alias("passed")
     )
 

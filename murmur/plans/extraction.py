@@ -556,6 +556,8 @@ def _parsed(spark, sf):
         F.lit("t0").alias("tenant_id"),
         F.concat_ws("-", "source", (did % 50).cast("string")).alias("capture_id"),
         did.cast("string").alias("content_id"),
+        # its place in the capture, as readers number what they find
+        did.alias("ordinal"),
         F.timestamp_seconds(
             F.lit(1704067200) + did + F.when(did % 11 == 0, 60).otherwise(0)
         ).alias("posted_at"),

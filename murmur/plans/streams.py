@@ -91,7 +91,7 @@ def stream_sliding(spark, sf):
 def stream_hourly_z(spark, sf):
     """Closed hours scored against the stored profile."""
     path = work_dir(spark, "hourly")
-    profile = baseline.volume_profile(baseline.hourly_counts(sample.observations(spark, sf)))
+    profile = baseline.span_profile(baseline.busy_hours(sample.observations(spark, sf)))
 
     def drive(stream):
         scored = windows.hourly_z(stream, profile, "10 minutes")

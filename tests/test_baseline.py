@@ -48,6 +48,23 @@ def test_silence_counts_as_zero(spark):
     ]
 
 
+def test_profile_of_a_span_equals_that_of_the_filled_hours(spark):
+    """Also with items of other centuries; nothing is cut or expanded."""
+    rows = [("s", MONDAY + timedelta(hours=h)) for h in (0, 0, 0, 3, 9, 168, 177, 400, 400)]
+    rows += [("one", MONDAY), ("old", datetime(1999, 12, 31, 23, 59)), ("old", datetime(2001, 2, 3)), ("none", None)]
+    obs = spark.createDataFrame(rows, "source_id string, posted_at timestamp")
+    busy = baseline.busy_hours(obs)
+    want = {(r.source_id, r.hour_of_week): r for r in baseline.volume_profile(baseline.hourly_counts(obs)).collect()}
+    got = {(r.source_id, r.hour_of_week): r for r in baseline.span_profile(busy).collect()}
+    assert got.keys() == want.keys() and {k[0] for k in got} == {"s", "one", "old"}
+    for k, r in got.items():
+        assert r.samples == want[k].samples and abs(r.mean - want[k]["mean"]) < 1e-12 and abs(r.stdev - want[k].stdev) < 1e-12
+    wide = spark.createDataFrame([("w", datetime(1, 1, 2)), ("w", datetime(9999, 1, 1))], "source_id string, posted_at timestamp")
+    assert baseline.span_profile(baseline.busy_hours(wide)).agg(F.sum("samples")).first()[0] > 87_000_000
+    asked = spark.createDataFrame([("s", MONDAY + timedelta(hours=h)) for h in (0, 5, 999)], "source_id string, hour timestamp")
+    assert sorted(r["items"] for r in baseline.scores_at(asked, busy).collect()) == [0, 3]
+
+
 NOW = datetime(2026, 9, 1)
 CASES = {
     "never": (0, 0, None, "collecting"),
