@@ -119,9 +119,10 @@ def newest(table: DataFrame, column: str, tie: str, limit: int) -> DataFrame:
     return table.orderBy(F.desc(column), F.desc(tie)).limit(limit)
 
 
-def by_name(table: DataFrame, name: str, tie: str, limit: int) -> DataFrame:
-    """The first rows of a list by name, with a unique tie-break."""
-    return table.orderBy(name, tie).limit(limit)
+def by_name(table: DataFrame, name: str, tie: str, limit: int | None = None) -> DataFrame:
+    """A list by name, or its first rows, with a unique tie-break."""
+    rows = table.orderBy(name, tie)
+    return rows if limit is None else rows.limit(limit)
 
 
 #: Characters of a failure shown in a run's ``detail``; the whole text is in ``failure``.

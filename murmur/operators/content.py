@@ -1,8 +1,9 @@
 """Content and account history: upserts, re-observation, reprocessing, retention.
 
-There is no table format with MERGE here. An upsert is a union of the stored rows and the
-batch, folded per key with ``min_by``/``max_by``, which combine map-side; only months that
-the batch touches need to be rewritten (:func:`touched_months`).
+There is no table format with MERGE here. Stored tables are snapshots by month
+(:mod:`murmur.sources.snapshots`): a merge reads the months its batch touches, joins the
+folded batch to them and publishes their new folders with one commit. Frames that are not
+stored are merged as a union folded per key with ``min_by``/``max_by``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.extract import EXTRACTOR_VERSION
+from murmur.sources import snapshots
 
 #: Ids carry no tenant, so two tenants may hold the same public item.
 CONTENT_KEY = ["tenant_id", "content_id", "posted_at"]
@@ -78,9 +80,52 @@ def merge_content(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     ).select(*CONTENT_KEY, "f.*", "l.*")
 
 
-def touched_months(batch: DataFrame) -> DataFrame:
-    """Months a merge has to rewrite; at most one row per month of history."""
-    return batch.select(F.date_format("posted_at", "yyyy-MM").alias("posted_month")).distinct()
+def fold_content(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """:func:`merge_content` by joins: the batch is folded first, stored rows are not shuffled for it.
+
+    Stored rows take ``last_*`` from the batch where it has them again; what is not stored is
+    added. Adaptive execution broadcasts a small batch, so stored rows stay where they are
+    read; against them only keys are compared.
+    """
+    new = merge_content(None, batch)
+    if stored is None:
+        return new
+    again = new.select(*CONTENT_KEY, F.struct(*LATEST).alias("again"))
+    moved = stored.join(again, CONTENT_KEY, "left").select(
+        *[
+            F.coalesce(F.col(f"again.{c}"), F.col(c)).alias(c) if c in LATEST else F.col(c)
+            for c in stored.columns
+        ]
+    )
+    fresh = new.join(stored.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
+    return moved.unionByName(fresh, allowMissingColumns=True)
+
+
+def fold_accounts(stored: DataFrame | None, seen: DataFrame) -> DataFrame:
+    """:func:`merge_accounts` by joins, as :func:`fold_content`."""
+    new = merge_accounts(None, seen)
+    if stored is None:
+        return new
+    key = ["tenant_id", "account_id"]
+    again = new.select(*key, F.col("last_seen").alias("again"))
+    moved = stored.join(again, key, "left").withColumn("last_seen", F.coalesce("again", "last_seen")).drop("again")
+    return moved.unionByName(new.join(stored.select(*key), key, "left_anti"))
+
+
+def merge_stored_content(store: snapshots.Store, batch: DataFrame, number: int) -> int:
+    """Merge a batch into the stored months it touches; batch ``number`` is applied once."""
+    return store.merge("content", batch, snapshots.month(), fold_content, "content", number)
+
+
+def merge_stored_accounts(store: snapshots.Store, seen: DataFrame, number: int) -> int:
+    """The same for accounts, which are stored by buckets of their key."""
+    return store.merge("accounts", seen, snapshots.bucket("tenant_id", "account_id"), fold_accounts, "accounts", number)
+
+
+def reprocess_stored(store: snapshots.Store, outcomes: DataFrame, number: int) -> int:
+    """Write newer readings into the stored months that have any."""
+    updated = outcomes.where(F.col("outcome") == "updated")
+    return store.merge("content", updated, snapshots.month(), apply_reprocessing, "reprocessing", number)
 
 
 def reprocessing_backlog(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmur.functions import ids
 from murmur.operators import burst
 from murmur.session import materialise
+from murmur.sources.snapshots import State, Store
 
 FINDING_TABLES = ("findings", "finding_accounts", "finding_captures")
 
@@ -17,40 +18,42 @@ def write_findings(
 ) -> None:
     """Findings with their accounts and captures, as one run of three tables.
 
-    The membership is computed once. A run that is repeated replaces its own rows, and the
-    findings come last: a run without them is incomplete.
+    The membership is computed once. All three become current with one commit; a run that is
+    repeated takes the place of its earlier attempt, and a reader in between sees that one whole.
     """
+    spark = obs.sparkSession
     inside = materialise(burst.members(obs, burst.burst_starts(obs, rules), rules), "members")
     parts = {
         "finding_accounts": burst.finding_accounts(inside),
         "finding_captures": burst.finding_captures(inside),
         "findings": burst.findings(inside, rules),
     }
-    for name, rows in parts.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+    run = F.lit(run_id).alias("run_id")
+    Store(spark, path).put({name: rows.select("*", run) for name, rows in parts.items()}, run_id)
 
 
 def read_findings(spark: SparkSession, path: str, name: str = "findings") -> DataFrame:
-    """One of the three tables, complete runs only."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    if name == "findings":
-        return rows
-    done = spark.read.parquet(f"{path}/findings").select("run_id").distinct()
-    return rows.join(done, "run_id", "left_semi")
+    """One of the three tables. Pass a :class:`State` as ``spark`` to read all three as of one commit."""
+    state = spark if isinstance(spark, State) else Store(spark, path).state()
+    return state.read(name)
 
 
-def append_runs(runs: DataFrame, path: str, validated_at: Column) -> None:
-    """Log of extraction runs, from :func:`murmur.operators.extract.validate_captures`."""
-    runs.withColumn("validated_at", validated_at).write.mode("append").parquet(path)
+def append_runs(runs: DataFrame, path: str, validated_at: Column, batch: str) -> None:
+    """Log of extraction runs, from :func:`murmur.operators.extract.validate_captures`.
+
+    ``batch`` names the job; a job that is repeated does not append again.
+    """
+    Store(runs.sparkSession, path).put({"runs": runs.withColumn("validated_at", validated_at)}, batch)
 
 
-def append_exports(bundles: DataFrame, path: str, created_at: Column) -> None:
+def append_exports(bundles: DataFrame, path: str, created_at: Column, batch: str) -> None:
     """Exported bundles. A new export is a new row, also for a finding exported before."""
     made = bundles.withColumn("created_at", created_at.cast("timestamp"))
-    made.withColumn(
+    rows = made.withColumn(
         "export_id",
         ids.uuid5(
             ids.CONTENT_NAMESPACE,
             F.concat_ws("|", F.lit("export"), "finding_id", F.unix_micros("created_at").cast("string")),
         ),
-    ).write.mode("append").parquet(path)
+    )
+    Store(bundles.sparkSession, path).put({"exports": rows}, batch)

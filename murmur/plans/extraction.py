@@ -477,20 +477,19 @@ def account_upsert(spark, sf):
     )
 
 
-@query(
-    "content_reobservation",
-    """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, 't'||(event_id % 3) AS tenant_id, date_trunc('day', ts)
+REOBSERVED_SQL = """WITH e AS (SELECT user_id||'/'||strftime(ts,'%d') AS content_id, 't'||(event_id % 3) AS tenant_id, date_trunc('day', ts)
  AS posted_at, event_type AS capture_id, 'tr'||event_id AS trace_id, ts, {'b': event_id % 100 >= 50,
  's': CASE WHEN user_id % 2 = 0 THEN event_id ELSE -event_id END} AS ord FROM events)
 SELECT tenant_id, content_id, posted_at, arg_min(capture_id, ord) AS capture_id, arg_min(trace_id, ord)
  AS trace_id, arg_max(capture_id, ord) AS last_capture_id, arg_max(trace_id, ord) AS last_trace_id,
- arg_min(ts, ord) AS first_seen, arg_max(ts, ord) AS last_seen FROM e GROUP BY 1, 2, 3""",
-)
-def content_reobservation(spark, sf):
-    """A repeat moves the last_* columns and leaves the provenance alone."""
+ arg_min(ts, ord) AS first_seen, arg_max(ts, ord) AS last_seen FROM e GROUP BY 1, 2, 3"""
+
+
+def content_sightings(spark, sf):
+    """Items as captures saw them; ``early`` marks the first batch."""
     e, half = _sightings(spark, sf)
     ts = F.col("ts").cast("timestamp")
-    batch = e.select(
+    return e.select(
         F.concat_ws("/", F.col("user_id").cast("string"), F.date_format(ts, "dd")).alias(
             "content_id"
         ),
@@ -500,8 +499,9 @@ def content_reobservation(spark, sf):
         F.concat(F.lit("tr"), F.col("event_id").cast("string")).alias("trace_id"),
         ts.alias("seen_at"), "seq", half.alias("early"),
     )
-    first = content.merge_content(None, batch.where("early"))
-    merged = content.merge_content(first, batch.where("not early"))
+
+
+def reobserved(merged):
     return merged.select(
         "tenant_id", "content_id", plain("posted_at").alias("posted_at"), "capture_id", "trace_id",
         "last_capture_id", "last_trace_id", plain("first_seen").alias("first_seen"),
@@ -509,6 +509,14 @@ def content_reobservation(spark, sf):
     )
 
 
+@query("content_reobservation", REOBSERVED_SQL)
+def content_reobservation(spark, sf):
+    """A repeat moves the last_* columns and leaves the provenance alone."""
+    batch = content_sightings(spark, sf)
+    first = content.merge_content(None, batch.where("early"))
+    return reobserved(content.merge_content(first, batch.where("not early")))
+
+
 def _stored(spark, sf):
     d = table(spark, sf, "documents")
     did = F.col("doc_id")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmur.functions import ids
 from murmur.operators import burst, collect, content, sinks
 from murmur.plans import extraction, sample
 from murmur.plans.detection import FINDING_ID
-from murmur.plans.registry import plain, query, table
+from murmur.plans.registry import plain, query, table, uuid5_sql
 from murmur.plans.sample import bursts_sql
 from murmur.session import work_dir
 from murmur.sources import tables
+from murmur.sources.snapshots import Store
 
 
 @query(
@@ -46,12 +48,67 @@ def findings_saved(spark, sf):
     "validation_passed, TIMESTAMP '2024-02-02' FROM (" + extraction.VALIDATION_SQL + ")",
 )
 def runs_saved(spark, sf):
-    """Two validations of every capture, kept beside each other."""
+    """Two validations of every capture, kept beside each other; each job ran twice."""
     path = work_dir(spark, "runs")
     runs = extraction.capture_validation(spark, sf)
     for day in ("2024-02-01", "2024-02-02"):
-        sinks.append_runs(runs, path, F.lit(day).cast("timestamp"))
-    return spark.read.parquet(path).withColumn("validated_at", plain("validated_at"))
+        for _ in range(2):
+            sinks.append_runs(runs, path, F.lit(day).cast("timestamp"), day)
+    return Store(spark, path).state().read("runs").withColumn("validated_at", plain("validated_at"))
+
+
+def _exports(spark, sf):
+    """Two days of exports of all findings; the second job was repeated."""
+    path = work_dir(spark, "exports")
+    found = burst.detect(sample.observations(spark, sf), [burst.BurstRule()]).select(
+        "finding_id", F.concat(F.lit('{"id":"'), "finding_id", F.lit('"}')).alias("bundle_json")
+    )
+    for day in ("2024-02-01", "2024-02-02", "2024-02-02"):
+        sinks.append_exports(found, path, F.lit(day).cast("timestamp"), day)
+    rows = Store(spark, path).state().read("exports")
+    return rows.select("export_id", "finding_id", "bundle_json", plain("created_at").alias("created_at"))
+
+
+_EXPORTS_SQL = (
+    bursts_sql()
+    + f""", f AS (SELECT {FINDING_ID} AS finding_id FROM inside GROUP BY project_id, s),
+x AS (SELECT finding_id, '{{"id":"'||finding_id||'"}}' AS bundle_json, created_at FROM f,
+ (VALUES (TIMESTAMP '2024-02-01'), (TIMESTAMP '2024-02-02')) d(created_at))
+SELECT """
+    + uuid5_sql(ids.CONTENT_NAMESPACE, "'export|'||finding_id||'|'||epoch_us(created_at)")
+    + " AS export_id, finding_id, bundle_json, created_at FROM x"
+)
+
+
+@query("exports_saved", _EXPORTS_SQL)
+def exports_saved(spark, sf):
+    """Every export that was ever made, once."""
+    return _exports(spark, sf)
+
+
+@query(
+    "recent_exports",
+    f"SELECT export_id, finding_id, created_at FROM ({_EXPORTS_SQL}) ORDER BY created_at DESC, export_id DESC LIMIT 50",
+)
+def recent_exports(spark, sf):
+    """The newest exports."""
+    return collect.newest(_exports(spark, sf), "created_at", "export_id", 50).select(
+        "export_id", "finding_id", "created_at"
+    )
+
+
+@query(
+    "content_stored",
+    extraction.REOBSERVED_SQL,
+)
+def content_stored(spark, sf):
+    """Two batches merged into stored months, the first one delivered again after the second."""
+    store = Store(spark, work_dir(spark, "content"))
+    batch = extraction.content_sightings(spark, sf)
+    for number, rows in enumerate([batch.where("early"), batch.where("not early")]):
+        content.merge_stored_content(store, rows.drop("early"), number)
+    content.merge_stored_content(store, batch.where("early").drop("early"), 0)
+    return extraction.reobserved(store.state().read("content"))
 
 
 @query(
@@ -138,9 +195,9 @@ def backfilled(spark, sf):
 
 @query(
     "sources_by_name",
-    "SELECT c_name AS name, c_custkey AS source_id FROM customer ORDER BY c_name, c_custkey LIMIT 200",
+    "SELECT c_name AS name, c_custkey AS source_id FROM customer",
 )
 def sources_by_name(spark, sf):
-    """The first page of a list by name; the id breaks ties."""
+    """All sources in the order of their names; the id breaks ties."""
     named = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("source_id"))
-    return collect.by_name(named, "name", "source_id", 200)
+    return collect.by_name(named, "name", "source_id")

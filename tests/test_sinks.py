@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from murmur.operators import burst, sinks
+from murmur.sources.snapshots import Store
 from murmur.streaming import jobs
 
 BASE = datetime(2026, 8, 4)
@@ -28,16 +29,19 @@ def test_findings_and_members_are_one_run(spark, tmp_path):
     assert sinks.read_findings(spark, str(tmp_path)).count() == 2
     accounts = sinks.read_findings(spark, str(tmp_path), "finding_accounts")
     assert accounts.groupBy("run_id").count().where("count = 4").count() == 2
-    # a run without its findings table is not read
-    accounts.where("run_id = 'r2'").drop("run_id").write.parquet(f"{tmp_path}/finding_accounts/run_id=r3")
-    assert sinks.read_findings(spark, str(tmp_path), "finding_accounts").count() == 8
+    # what no commit names is not read, and a reader keeps what it resolved
+    before = Store(spark, str(tmp_path)).state()
+    Store(spark, str(tmp_path)).stage(accounts)
+    sinks.write_findings(posts(spark, 0, 10, 20, 30, 40), rules, str(tmp_path), "r2")
+    assert sinks.read_findings(before, "", "finding_accounts").count() == 8
+    assert sinks.read_findings(spark, str(tmp_path), "finding_accounts").count() == 9
 
 
 def test_exports_are_appended(spark, tmp_path):
     bundles = spark.createDataFrame([("f1", "{}"), ("f2", "{}")], "finding_id string, bundle_json string")
-    for day in (1, 2):
-        sinks.append_exports(bundles, f"{tmp_path}/exports", F.lit(datetime(2026, 8, day)))
-    rows = spark.read.parquet(f"{tmp_path}/exports").collect()
+    for day in (1, 2, 2):
+        sinks.append_exports(bundles, f"{tmp_path}/exports", F.lit(datetime(2026, 8, day)), str(day))
+    rows = Store(spark, f"{tmp_path}/exports").state().read("exports").collect()
     assert len(rows) == len({r.export_id for r in rows}) == 4
 
 
