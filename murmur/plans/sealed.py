@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,8 +13,8 @@ from murmur.functions import text
 from murmur.operators import chain, evidence, quality
 from murmur.plans import sample
 from murmur.plans.registry import plain, prefixed_sql, query, table
-from murmur.session import materialise
-from murmur.sources import archives
+from murmur.session import materialise, work_dir
+from murmur.sources import archive_files, archives
 
 KEY = ["tenant_id", "bundle_id"]
 
@@ -541,6 +542,46 @@ def archive_scan(spark, sf):
     return found.select("path", "name", text.bytes_digest(F.col("payload")).alias("sha256"))
 
 
+def _archive_files(spark, sf):
+    """The archives of all pages as eight files in the shared folder, written by tasks."""
+    path = work_dir(spark, "archives")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = archive_files.opened(path)
+        files.create_dir(folder)
+        name = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
+        written = 0
+        # a task that is repeated writes a file of its own; only files that a task has named are read
+        with files.open_output_stream(name) as out:
+            for batch in batches:
+                for content in batch["content"]:
+                    written += out.write(bytes(content))
+        yield pd.DataFrame({"name": [name], "bytes": [written]})
+
+    rows = _archive_bytes(spark, sf).repartition(8, "path")
+    named = materialise(rows.mapInPandas(write, "name string, bytes long"), "archive-names")
+    return path, named
+
+
+@query(
+    "archive_files_scan",
+    """SELECT 'address.txt' AS name, sha256(url) AS sha256, octet_length(encode(url)) AS size FROM pages UNION ALL
+ SELECT 'dom.html', sha256(CASE WHEN page_id % 13 = 0 THEN html||'!' ELSE html END),
+ octet_length(encode(html)) + CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END FROM pages UNION ALL
+ SELECT 'planted', sha256('x'), 1 FROM pages WHERE page_id % 17 = 0""",
+)
+def archive_files_scan(spark, sf):
+    """Size and digest of every artifact in archive files, many tasks to a file, no payload held."""
+    path, named = _archive_files(spark, sf)
+    found = archive_files.read(spark, path, split=1 << 16, payload=False)
+    lead = f"{archives.URI_PREFIX}:artifact:"
+    return (
+        found.join(named.where("bytes > 0"), F.col("path") == F.col("name"), "left_semi")
+        .where(F.col("uri").startswith(lead))
+        .select(F.substr(F.col("uri"), F.lit(len(lead) + 1)).alias("name"), "sha256", "size")
+    )
+
+
 @query(
     "archive_seals",
     _CHAIN
