@@ -552,7 +552,7 @@ def _archive_files(spark, sf):
         name = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
         written = 0
         # a task that is repeated writes a file of its own; only files that a task has named are read
-        with files.open_output_stream(name) as out:
+        with files.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 for content in batch["content"]:
                     written += out.write(bytes(content))
