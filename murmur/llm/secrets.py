@@ -1,32 +1,44 @@
 """Secret scans: probabilistic automata inferred from labelled credentials.
 
 Three base rules find assignments, access keys and hexadecimal strings. What they
-find in the corpus are the labelled credentials, by kind. A bounded sample of each
-(``SAMPLE`` distinct values with the smallest hash) and of ordinary long words is
-read into prefix trees over character classes, and states of a tree whose ends
-and next classes agree within Hoeffding bounds are merged (red-blue order) into a
-deterministic probabilistic automaton. Every candidate in every text (a run of 16
-or more credential characters with a letter and a digit, outside base spans) is then scored:
-if an automaton of credentials explains it better per character than the ordinary
-words' by ``MARGIN``, and about as well as it explains its own training values,
-the candidate is added as a span of kind ``inferred``. Base spans always stay.
+find in the corpus are the labelled credentials, by kind. Everything else of
+``SHORTEST`` characters or more in their alphabet is a candidate: a run of such characters, and its parts between ``/`` and between ``.``,
+so that a token in an address or a dotted key is seen by itself. Candidates are the
+background, too.
+
+The ``SAMPLE`` distinct values with the smallest hash of each kind, and of the
+candidates, are read into prefix trees over character classes. States are merged in
+red-blue order into a deterministic probabilistic automaton where, within Hoeffding
+bounds, their ends, their next classes and how far their words go on agree; of
+several such states the one with the most similar lengths is taken, which keeps the
+positions of a format apart although few values share a long beginning.
+
+Every candidate is scored. It becomes a span of kind ``inferred`` if an automaton
+explains it about as well as its own training values, and better than the background
+by ``EVIDENCE`` nats in all: a candidate is a secret once in a hundred thousand times
+or so. A run is tried whole before its parts. Base spans always stay.
 
 Positions are code points, ends exclusive. Null text is empty. Repeated rows get
-equal rows. Without any labelled credential no span is added.
+equal rows. Very long texts and values are scanned and scored whole. An empty table
+gives an empty result. Without any labelled credential no span is added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import batch, documents, small_batches
+from murmur.session import materialise
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -36,19 +48,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "inferred")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+ALPHABET = "[A-Za-z0-9+/_.=-]"
+#: Shortest value that the base rules label.
+SHORTEST = 6
 
 SAMPLE = 1500
-#: Characters of a training value; values are far shorter, longer ones say nothing new.
-LONGEST = 128
+#: Characters of a training value that enter a tree; a longer value has no end there.
+LONGEST = 512
 ALPHA = 0.05
-#: States seen less often are merged without a test.
-RARE = 20
-#: Nats per character by which credentials must explain a candidate better.
-MARGIN = 0.3
+#: Nats by which credentials must explain a candidate better than the background.
+EVIDENCE = 12.0
 #: Share of training values that may score below the bar of their automaton, and slack below it.
 TAIL, SLACK = 0.01, 0.1
+#: Verdicts that a worker remembers.
+REMEMBERED = 200_000
 
 #: Classes: digit, a-f, g-z, A-F, G-Z, other.
 _CLASSES = {c: k for k, run in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")) for c in run}
@@ -72,10 +85,30 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list) -> Iterator[tuple[int, int, str]]:
-    for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in base):
-            yield m.start(), m.end(), m[0]
+RUN = re.compile(ALPHABET + "{%d,}" % SHORTEST)
+
+
+def runs_of(text: str, base: list) -> Iterator[tuple[int, str]]:
+    """(start, run) of the runs that no base span overlaps."""
+    at = 0
+    for m in RUN.finditer(text):
+        while at < len(base) and base[at][2] <= m.start():
+            at += 1
+        # base spans are in the order of their starts
+        near = itertools.takewhile(lambda b: b[0] < m.end(), itertools.islice(base, at, None))  # noqa: B023
+        if not any(m.start() < b[2] for b in near):
+            yield m.start(), m[0]
+
+
+def parts_of(run: str) -> Iterator[list[tuple[int, str]]]:
+    """Ways to read a run, coarser ones first: without dots around it, cut at slashes, cut at dots as well."""
+    whole = run.strip(".")
+    if len(whole) >= SHORTEST:
+        yield [(run.index(whole), whole)]
+    for cut in ("[^/]+", "[^/.]+"):
+        found = [(m.start(), m[0]) for m in re.finditer(cut, run) if len(m[0]) >= SHORTEST]
+        if found and len(found[0][1]) < len(whole):
+            yield found
 
 
 class Automaton:
@@ -83,24 +116,41 @@ class Automaton:
 
     def __init__(self):
         self.n, self.ends, self.moves = [0], [0], [{}]
+        #: how many words go on for how long from a state
+        self.rest: list[Counter] = [Counter()]
 
-    def add(self, word: list[int]) -> None:
-        state = 0
+    def add(self, word: list[int], ended: bool = True) -> None:
+        state, left = 0, len(word)
         self.n[0] += 1
+        self.rest[0][left] += 1
         for symbol in word:
+            left -= 1
             after = self.moves[state].get(symbol)
             if after is None:
                 after = self.moves[state][symbol] = len(self.n)
                 self.n.append(0)
                 self.ends.append(0)
                 self.moves.append({})
+                self.rest.append(Counter())
             state = after
             self.n[state] += 1
-        self.ends[state] += 1
+            self.rest[state][left] += 1
+        self.ends[state] += ended
+
+    def _bound(self, na: int, nb: int) -> float:
+        return math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
 
     def _differ(self, a: int, na: int, b: int, nb: int) -> bool:
-        bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-        return abs(a / na - b / nb) > bound
+        return abs(a / na - b / nb) > self._bound(na, nb)
+
+    def distance(self, a: int, b: int) -> float:
+        """Largest difference between the distributions of what is left of the words."""
+        x, y = self.rest[a], self.rest[b]
+        gap = most = 0.0
+        for left in sorted(x.keys() | y.keys()):
+            gap += x[left] / self.n[a] - y[left] / self.n[b]
+            most = max(most, abs(gap))
+        return most
 
     def compatible(self, a: int, b: int) -> bool:
         pairs, seen = [(a, b)], set()
@@ -110,10 +160,10 @@ class Automaton:
                 continue
             seen.add(pair)
             x, y = pair
-            if min(self.n[x], self.n[y]) < RARE:
-                continue
             if self._differ(self.ends[x], self.n[x], self.ends[y], self.n[y]):
                 return False
+            if self.distance(x, y) > self._bound(self.n[x], self.n[y]):
+                return False
             for symbol in self.moves[x].keys() | self.moves[y].keys():
                 p, q = self.moves[x].get(symbol), self.moves[y].get(symbol)
                 cp, cq = self.flow(x, symbol), self.flow(y, symbol)
@@ -133,6 +183,7 @@ class Automaton:
             a, b = todo.pop()
             self.n[a] += self.n[b]
             self.ends[a] += self.ends[b]
+            self.rest[a] += self.rest[b]
             for symbol, child in self.moves[b].items():
                 moved = self.uses.pop((b, symbol))
                 self.uses[a, symbol] = self.uses.get((a, symbol), 0) + moved
@@ -151,7 +202,8 @@ class Automaton:
             if not blue:
                 return self
             _, state, symbol, target = max(blue)
-            for other in red:
+            near = sorted((self.distance(other, target), other) for other in red)
+            for _, other in near:
                 if self.compatible(other, target):
                     self.moves[state][symbol] = other
                     self.fold(other, target)
@@ -196,63 +248,101 @@ def likelihood(model: tuple, word: list[int]) -> float:
 
 
 def learn(values: dict[str, list[str]]) -> dict:
-    """Automata by kind and the bar of each; ``ordinary`` holds the other words."""
-    models = {}
+    """Automata by kind and the bar of each; ``ordinary`` is the background."""
+    models, bars = {}, {}
     for kind, words in values.items():
         tree = Automaton()
         for word in words:
-            tree.add(classes(word[:LONGEST]))
+            tree.add(classes(word[:LONGEST]), len(word) <= LONGEST)
         models[kind] = tree.infer().tables() if words else None
-    bars = {}
-    for kind, words in values.items():
-        if kind != "ordinary" and words:
-            scores = sorted(likelihood(models[kind], classes(w[:LONGEST])) for w in words)
-            bars[kind] = scores[int(TAIL * len(scores))] - SLACK
+    labelled = [(kind, words) for kind, words in values.items() if kind != "ordinary" and words]
+    for kind, words in labelled:
+        scores = sorted(likelihood(models[kind], classes(w[:LONGEST])) for w in words)
+        bars[kind] = scores[int(TAIL * len(scores))] - SLACK
     return {"models": models, "bars": bars}
 
 
-def likely(model: dict, value: str) -> bool:
+def evidence(model: dict, value: str) -> float:
+    """Nats by which the best automaton whose bar is met explains a value better than the background."""
     word = classes(value)
-    plain = likelihood(model["models"]["ordinary"], word) if model["models"].get("ordinary") else -math.inf
-    if plain == -math.inf:
-        plain = sum(_NOWHERE[c] for c in word) / (len(word) + 1)
+    plain = model["models"].get("ordinary")
+    below = likelihood(plain, word) if plain else sum(_NOWHERE[c] for c in word) / (len(word) + 1)
+    best = -math.inf
     for kind, bar in model["bars"].items():
         mark = likelihood(model["models"][kind], word)
-        if mark >= bar and mark - plain > MARGIN:
-            return True
-    return False
+        if mark >= bar:
+            best = max(best, (mark - below) * (len(word) + 1))
+    return best
+
+
+def likely(model: dict, value: str) -> bool:
+    return evidence(model, value) >= EVIDENCE
+
+
+def secret_parts(model: dict, run: str) -> tuple[tuple[int, int], ...]:
+    """(start, end) of the secrets in a run: the whole, else what is one of its coarsest parts."""
+    for parts in parts_of(run):
+        if found := tuple((at, at + len(part)) for at, part in parts if likely(model, part)):
+            return found
+    return ()
+
+
+class Smallest:
+    """The distinct values with the smallest hashes seen so far; of two of these the union is one again."""
+
+    def __init__(self, size: int):
+        self.size, self.bar, self.held = size, 1 << 64, {}
+
+    def add(self, values: set[str]) -> None:
+        for value in values:
+            mark = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"))
+            if mark < self.bar:
+                self.held[value] = mark
+        if len(self.held) > 4 * self.size:
+            self.cut()
+
+    def cut(self) -> dict[str, int]:
+        best = sorted(self.held.items(), key=lambda x: x[1])[: self.size]
+        self.held = dict(best)
+        if len(best) == self.size:
+            self.bar = best[-1][1] + 1
+        return self.held
 
 
 def credentials(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Bounded sample: at most ``sample`` distinct values of each kind reach the driver."""
+    """Bounded sample: at most ``sample`` distinct values of each kind reach the driver.
+
+    A task passes on its own ``sample`` smallest hashes of each kind, which hold those of all.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {kind: Smallest(sample) for kind in (*KINDS[:3], "ordinary")}
         for rows in batches:
-            found = set()
-            for text in rows.column(1).to_pylist():
+            found: dict[str, set] = {kind: set() for kind in kept}
+            runs: set[str] = set()
+            for text in rows.column(1):
+                text = text.as_py()
                 if not text:
                     continue
                 base = base_spans(text)
-                found |= {(KINDS[kind], value[:LONGEST]) for _, kind, _, value in base}
-                found |= {
-                    ("ordinary", m[0][:LONGEST])
-                    for m in CANDIDATE.finditer(text)
-                    if not DIGIT.search(m[0])
-                }
-            kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"]
-            )
-
-    every = documents(docs).mapInArrow(run, "kind string, value string").distinct()
-    # a hash bar that leaves about three samples of a kind, from exact counts
-    from murmur.session import materialise
-
-    every = materialise(every, "secrets-values")
+                for _, kind, _, value in base:
+                    found[KINDS[kind]].add(value[: LONGEST + 1])
+                runs |= {run for _, run in runs_of(text, base)} if base else set(RUN.findall(text))
+            found["ordinary"] = {part[: LONGEST + 1] for run in runs for parts in parts_of(run) for _, part in parts}
+            for kind, values in found.items():
+                kept[kind].add(values)
+        rows = [(kind, value, mark) for kind, held in kept.items() for value, mark in held.cut().items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in rows], pa.string()), pa.array([v for _, v, _ in rows], pa.string()),
+             pa.array([m - (1 << 63) for _, _, m in rows], pa.int64())],
+            names=["kind", "value", "mark"],
+        )
+
+    every = materialise(documents(docs).mapInArrow(run, "kind string, value string, mark long").distinct(), "secrets-values")
     out: dict[str, list[str]] = {}
-    for kind in ("assign", "access", "hex", "ordinary"):
-        top = every.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
+    for kind in (*KINDS[:3], "ordinary"):
+        top = every.where(F.col("kind") == kind).orderBy("mark", "value").limit(sample)
         out[kind] = [r.value for r in top.select("value").collect()]
     return out
 
@@ -263,13 +353,33 @@ SPANS = pa.schema(
 )
 
 
-def spans(text: str | None, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+class Known:
+    """Runs that were scored before, and the secrets in those that have any."""
+
+    def __init__(self, model: dict):
+        self.model, self.seen, self.secret = model, set(), {}
+
+    def secrets(self, text: str, base: list) -> list[tuple[int, int, int]]:
+        """Spans in ``text``: each different run is scored once, places are looked up for the rare hit."""
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+            self.secret.clear()
+        found = set(RUN.findall(text))
+        for run in found - self.seen:
+            if parts := secret_parts(self.model, run):
+                self.secret[run] = parts
+        self.seen |= found
+        if found.isdisjoint(self.secret):
+            return []
+        return [(at + a, 3, at + b) for at, run in runs_of(text, base) for a, b in self.secret.get(run, ())]
+
+
+def spans(text: str | None, known: Known) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans as (start, kind, end)."""
     text = text or ""
     base = base_spans(text)
     own = [(s, k, e) for s, k, e, _ in base]
-    added = [(s, 3, e) for s, e, value in candidates(text, base) if likely(model, value)] if model["bars"] else []
-    return own, sorted(own + added)
+    return own, sorted(own + (known.secrets(text, base) if known.model["bars"] else []))
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
@@ -282,11 +392,12 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model)
         for rows in batches:
             out: dict[str, list] = {f.name: [] for f in SPANS}
             out["doc_id"] = rows.column(0)
             for text in rows.column(1).to_pylist():
-                base, every = spans(text, model)
+                base, every = spans(text, known)
                 for name, kind in (("n_assign", 0), ("n_access", 1), ("n_hex", 2)):
                     out[name].append(sum(k == kind for _, k, _ in base))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -323,9 +434,10 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     size = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model)
         for rows in batches:
             columns, texts = list(rows.columns), rows.column(at).to_pylist()
-            found = [[] if t is None else spans(t, model)[1] for t in texts]
+            found = [[] if t is None else spans(t, known)[1] for t in texts]
             new = [masked(t, f) if f else t for t, f in zip(texts, found, strict=True)]
             columns[at] = pa.array(new, columns[at].type)
             if size is not None:

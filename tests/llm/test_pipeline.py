@@ -29,8 +29,8 @@ def test_stages_against_plain_versions(spark, sf):
     after = stages.decontamination(spark, after, sf)
     assert {r.doc_id: r.text for r in after.collect()} == left and after.columns == docs.columns
 
-    model = secrets.learn(secrets.credentials(after))
-    left = {i: secrets.masked(t, secrets.spans(t, model)[1]) for i, t in left.items()}
+    known = secrets.Known(secrets.learn(secrets.credentials(after)))
+    left = {i: secrets.masked(t, secrets.spans(t, known)[1]) for i, t in left.items()}
     after = stages.secrets(spark, after, sf)
     rows = after.collect()
     assert {r.doc_id: r.text for r in rows} == left and all(r.n_chars == len(r.text) for r in rows)
