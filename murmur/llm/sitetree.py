@@ -20,6 +20,10 @@ Only hashes are shuffled, never page text. The removed branches of a host are
 joined to its pages: broadcast if there are at most ``BROADCAST_ROWS`` in all (a
 row is some 100 bytes), else by a shuffle join.
 
+An element's class decides by whole words, so a class such as ``has-sidebar`` marks
+nothing, an article's own header or footer block stays, and an article that is a
+comment goes.
+
 Null or empty html has empty text. Repeated rows get equal rows. A null or odd
 url is the host "". Character references are decoded, white space within a block
 is one space, blocks are joined by one line feed in page order.
@@ -67,6 +71,10 @@ MARKS = frozenset(
     "notice pagination popup promo promoted recommended related replies reply respond share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those that mark an article which is a reader's, and those that an article's own head and foot bear.
+REPLIES = frozenset("comment comments replies reply respond".split())
+LEADS = frozenset("header footer".split())
+STATE = re.compile("(?:has|no|with|without|is|hide|show)[-_]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RUNNING = HEADINGS | frozenset("p blockquote pre b i em strong a span u s small sub sup mark code q cite abbr time".split())
 #: What closes an open element of the same group when it starts.
@@ -95,8 +103,12 @@ class Shape:
         self.path = xxhash.xxh64_intdigest(
             f"{above.path if above else 0}/{tag}.{names}".encode()
         ) - (1 << 63)
-        marked = not MARKS.isdisjoint(_WORDS.findall(names)) and tag not in ("html", "body", "article", "main")
         in_article = bool(above and above.inside)
+        # classes that say what a page has or lacks name no part of it
+        words = {w for token in names.split() if not STATE.match(token) for w in _WORDS.findall(token)}
+        if in_article:
+            words -= LEADS
+        marked = not words.isdisjoint(REPLIES if tag == "article" else MARKS) and tag not in ("html", "body", "main")
         self.furniture = bool(above and above.furniture) or tag in FURNITURE or (
             tag == "header" and not in_article
         ) or role in ROLES or marked

@@ -35,6 +35,13 @@ def test_furniture_and_blocks():
     assert sitetree.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_classes_that_name_no_part_and_articles_that_are_comments():
+    page = "<div id='page' class='has-sidebar wide'><article><div class='entry-header'><h1>T</h1></div><p>a</p></article><article class='comment'><p>nice</p></article></div>"
+    assert sitetree.main_text(page) == "T\na"
+    assert sitetree.main_text("<div class='no-sidebar'><p>b</p></div><div class='sidebar'>x</div>") == "b"
+    assert sitetree.main_text("<article><p>a</p><div class='entry-footer share'>x</div><ol class='comment-list'><li>c</li></ol></article>") == "a"
+
+
 def test_repeated_branch_is_removed_by_entropy(spark):
     """A box that no tag or class gives away, the same on every page of one host."""
     def page(i, box):
