@@ -5,11 +5,13 @@
    counted over all documents. Common terms weigh little, but no term weighs
    nothing: a passage copied into very many documents is made of common terms.
 2. A randomised SVD of the passage matrix (two power iterations) gives a latent
-   space of up to ``RANK`` dimensions; a passage needs a direction of its own to be
-   told from others, so at most ``RANK`` passages share a space. Every product with the matrix is a Spark
-   job over passages: tasks multiply their rows, and partial sums are added up
-   by block of terms. The driver only handles matrices of the size of the rank,
-   and the term vectors of one block of items.
+   space that is cut off where it holds ``ENERGY`` of the squared lengths, at
+   ``RANK`` dimensions at most; twice ``RANK`` passages share a space. A passage of
+   which the space keeps less than ``KEPT`` (squared) would be lost in it and moves
+   on to the next space, so each is searched for where it shows. Every product
+   with the matrix is a Spark job over passages: tasks multiply their rows, and
+   partial sums are added up by block of terms. The driver only handles matrices
+   of the size of the rank, and the term vectors of one block of items.
 3. Every document is read whole: windows of ``WINDOW`` words, ``STRIDE`` apart,
    are folded into the space, and passages with a cosine of ``COSINE`` or more
    are candidates, if the window holds ``COVER`` of the passage's latent weight.
@@ -48,6 +50,8 @@ PASSAGE = 64
 WINDOW = 32
 STRIDE = 8
 RANK = 256
+ENERGY = 0.8
+KEPT = 0.5
 OVERSAMPLE = 16
 POWER = 2
 COSINE = 0.35
@@ -149,8 +153,13 @@ def transposed_product(matrix: DataFrame, right: np.ndarray, left: np.ndarray |
     return out
 
 
-def randomised_svd(matrix: DataFrame, n_terms: int, n_rows: int, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (terms by rank) of the distributed rows (ids, weights)."""
+def randomised_svd(
+    matrix: DataFrame, n_terms: int, n_rows: int, rank: int = RANK, energy: float = 1.0, seed: int = 7
+) -> np.ndarray:
+    """Right singular vectors (terms by rank) of the distributed rows (ids, weights).
+
+    Of rows of length one, as few as hold the share ``energy`` of the squared lengths.
+    """
     width = min(rank + OVERSAMPLE, n_terms, n_rows)
     basis = np.random.default_rng(seed).normal(size=(n_terms, width))
     for _ in range(POWER):
@@ -160,6 +169,8 @@ def randomised_svd(matrix: DataFrame, n_terms: int, n_rows: int, rank: int = RAN
     values, vectors = np.linalg.eigh(basis.T @ product)
     keep = np.argsort(values)[::-1][: min(rank, width)]
     keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-300)]
+    if energy < 1:
+        keep = keep[: int(np.searchsorted(np.cumsum(values[keep]), energy * n_rows)) + 1]
     return basis @ vectors[:, keep]
 
 
@@ -197,7 +208,7 @@ def weights(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
     return np.log((total + 1) / (seen + 1)) + 1
 
 
-def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:
+def build(docs: DataFrame, passages: list[Passage], rank: int = RANK, energy: float = ENERGY) -> Index:
     spark = docs.sparkSession
     terms = sorted({w for p in passages for w in p.words})
     idf = weights(docs, terms)
@@ -206,13 +217,25 @@ def build(docs: DataFrame, passages: list[Passage], rank: int = RANK) -> Index:
     usable = [i for i, p in enumerate(passages) if len(p.words) >= SHORT]
     plain = sorted(set(range(len(passages))) - set(usable))
     spaces = []
-    for lo in range(0, len(usable), rank):
-        some = usable[lo : lo + rank]
+    unit = {i: np.asarray(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in usable}
+
+    def directions(some: list[int], energy: float) -> tuple[np.ndarray, np.ndarray]:
         matrix = spark.createDataFrame(
-            [(rows[i][0], (np.asarray(rows[i][1]) / np.linalg.norm(rows[i][1])).tolist()) for i in some],
-            "ids array<int>, weights array<double>",
+            [(rows[i][0], unit[i].tolist()) for i in some], "ids array<int>, weights array<double>"
         )
-        right = randomised_svd(matrix, len(terms), len(some), rank)
+        right = randomised_svd(matrix, len(terms), len(some), rank, energy)
+        return right, np.array([np.linalg.norm(unit[i] @ right[rows[i][0]]) ** 2 for i in some])
+
+    left = usable
+    while left:
+        chunk, left = left[: 2 * rank], left[2 * rank :]
+        right, shares = directions(chunk, energy)
+        if not (shares >= KEPT).any():
+            # too many unlike passages for one space: fewer, with a direction each
+            chunk, left = chunk[:rank], chunk[rank:] + left
+            right, shares = directions(chunk, 1.0)
+        some = [i for i, share in zip(chunk, shares, strict=True) if share >= KEPT]
+        left = [i for i, share in zip(chunk, shares, strict=True) if share < KEPT] + left
         vectors = np.array([np.asarray(rows[i][1]) @ right[rows[i][0]] for i in some])
         norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
         fold = idf[:, None] * right

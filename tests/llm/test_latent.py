@@ -101,3 +101,36 @@ def test_empty_tables(spark):
     assert latent.search(docs.limit(0), items).count() == 0
     assert latent.search(docs, items.limit(0)).count() == 0
     assert latent.clean(docs, items.where(F.lit(False))).count() == docs.count()
+
+
+def test_cut_space_finds_what_the_whole_one_finds(spark):
+    """Fewer directions than passages; reworded items are found as at full rank."""
+    d = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    passages = [p for block in latent.blocks_of(items) for p in block]
+    cut, whole_space = latent.build(docs, passages), latent.build(docs, passages, energy=1.0)
+    ranks = [s.vectors.shape for s in cut.spaces]
+    assert sum(n for n, _ in ranks) == len(passages) == sum(len(set(s.which)) for s in cut.spaces)
+    assert ranks[0][1] < ranks[0][0] and whole_space.spaces[0].vectors.shape == (len(passages),) * 2
+    rng = np.random.default_rng(3)
+    found = {}
+    for share in (0.1, 0.2, 0.3):
+        for r in items.collect():
+            words = r.text.split()
+            for i in rng.choice(len(words), int(share * len(words)), replace=False):
+                words[i] = f"zz{i}"
+            text = " ".join([*["qq"] * 50, *words, *["rr"] * 70])
+            for name, index in (("cut", cut), ("whole", whole_space)):
+                found.setdefault((name, share), set()).update(
+                    {r.item_id} & {h[0] for h in latent.search_text(index, text)}
+                )
+    for share in (0.1, 0.2, 0.3):
+        assert found["cut", share] == found["whole", share]
+    assert len(found["cut", 0.1]) == items.count()
+
+
+def test_unlike_passages_beyond_the_rank_take_more_spaces(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(30)], "item_id long, text string")
+    docs = items.withColumnRenamed("item_id", "doc_id")
+    found = latent.search(docs, items, rank=5).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(30)}
