@@ -7,9 +7,12 @@ one replacement made from a keyed SHA-512 digest of its kind and normal form:
 * characters keep their class and place (digits for digits, separators kept), a
   phone its country code, a card its first digit and, if it passes the Luhn test,
   a last digit that passes it too, a host its reserved example domain;
-* a name keeps title, gender (of the title), script and number of parts. Given
-  names and surnames are replaced separately, so a person is the same with and
-  without the given name;
+* a name keeps titles, gender (of the titles), script and number of parts. The last
+  part is the surname. Given names and surnames are replaced separately, so a person
+  is the same with and without given names; particles stay, initials are rotated in
+  their alphabet by a keyed amount, a possessive ending stays;
+* capitalised words of a text that are a part of a name found in the same text are
+  replaced like that part, so untitled mentions do not give the name away;
 * the normal form ignores case of addresses and separators of numbers, so
   mentions that mean the same get the same replacement in their own format.
 
@@ -17,12 +20,20 @@ Distinct entities get distinct replacements: of those that collide, or that hit
 real entity of the corpus, all but the one with the smallest normal form draw
 again, in rounds, until none collides. Only entities are compared, not texts.
 
-Null and empty texts stay as they are. Rows that repeat get equal rows. A text
-without an entity is not shuffled.
+Names are only found by a title and a capital letter: a person who is never named
+with a title stays, as does a name in lower case. Titles without a gender (Dr, Prof)
+give names of a third kind; where surnames have a gender, such a mention and one with
+a gendered title get different surnames. Runs of 13 to 19 digits count as cards
+whether they pass the Luhn test or not: hiding a number too many is the lesser fault.
+
+Null and empty texts stay as they are, and null ids stay null. Rows that repeat get
+equal rows. Without rows there is no result. A text without an entity is not shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,29 +58,46 @@ CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 #: Titles by gender; a name follows.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "г-жа", "Κυρία")
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
-_PART = r"\p{Lu}[\p{L}'-]+"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_PART}(?: {_PART})?"
+NEUTRAL = ("Dr", "Prof", "Professor")
+PARTICLES = "von van der den de del della di da du la le zu zum zur bin ibn al el ten ter dos das".split()
+_SPELLED = sorted({t for w in MALE + FEMALE + NEUTRAL for t in (w, w.upper())}, key=lambda t: (-len(t), t))
+_TITLE = "(?:" + "|".join(_SPELLED) + r")\.?"
+_TITLES = rf"{_TITLE}(?: {_TITLE}){{0,2}}"
+# letters, and inner apostrophes and hyphens but for a possessive ending; no beginning of an address
+_FREE = r"(?![\p{L}\p{N}._%+-]{0,64}+@)"
+_PART = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))++" + _FREE
+_INITIAL = r"\p{Lu}\."
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLES} (?:(?:{_PART}|{_INITIAL}|{_PARTICLE}) ){{0,5}}{_PART}"
+#: A word that may repeat a part of a name; it neither begins an address nor hides a title.
+WORD = (
+    rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}(?:\p{{L}}|['’-](?!s(?!\p{{L}}))(?!{_TITLE} )(?=\p{{L}}))++"
+    + _FREE
+)
 
 KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("name", NAME))
 ENTITY = "|".join(f"(?:{pattern})" for _, pattern in KINDS)
+#: For texts with a name.
+WIDE = f"{ENTITY}|(?:{WORD})"
 #: What every text with an entity has; cheaper than the patterns.
-HINT = "[0-9@]|" + "|".join(MALE + FEMALE)
+HINT = "[0-9@]|" + "|".join(_SPELLED)
 
+#: Alphabets in which initials are rotated.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 #: Syllables of made-up names by script: beginnings, middles, endings by gender, surname endings by gender.
 SYLLABLES = {
     "latin": ("Al Be Ca Da El Fa Ga Ha Is Jo Ka Li Ma No Or Pe".split(), "ra li ne do ma ri to sa vi lo na ke mi ro be ta".split(),
-              {"f": "na", "m": "n"}, {"any": "berg"}),
+              {"f": "na", "m": "n", "x": "r"}, {"any": "berg"}),
     "cyrillic": ("Ал Бо Ве Га Да Ев Жа Зо Ил Ка Ле Ма Ни Ол Па Ро".split(), "ра ли не до ма ри то са ви ло на ке ми ро бе та".split(),
-                 {"f": "на", "m": "н"}, {"f": "рова", "m": "ров"}),
+                 {"f": "на", "m": "н", "x": "л"}, {"f": "рова", "m": "ров", "x": "ренко"}),
     "greek": ("Αλ Βα Γε Δα Ελ Ζα Ηλ Θε Ιω Κα Λε Μα Νι Ορ Πα Ρο".split(), "ρα λι νε δο μα ρι το σα βι λο να κε μι ρο βε τα".split(),
-              {"f": "να", "m": "νος"}, {"f": "ίδη", "m": "ίδης"}),
+              {"f": "να", "m": "νος", "x": "ρις"}, {"f": "ίδη", "m": "ίδης", "x": "άκου"}),
 }
 
 
 def kind_of(mention: Column) -> Column:
     """The first kind whose pattern is the whole mention."""
-    out = F.lit("name")
+    out = F.when(mention.rlike(rf"^{_TITLES} "), "name").otherwise("word")
     for kind, pattern in reversed(KINDS[:-1]):
         out = F.when(mention.rlike(rf"^(?:{pattern})$"), kind).otherwise(out)
     return out
@@ -79,28 +107,44 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def pieces_of(mention: Column) -> Column:
+    """The words of a name behind its titles."""
+    return F.split(F.regexp_replace(mention, rf"^{_TITLES} ", ""), " ")
+
+
+def stays(piece: Column) -> Column:
+    """Initials and particles are no entities."""
+    return piece.rlike(rf"^(?:{_INITIAL}|{_PARTICLE})$")
+
+
 def entities_of(mention: Column, kind: Column) -> Column:
-    """Array of (kind, norm): one of them, or the parts of a name from the last."""
-    title = F.regexp_extract(mention, rf"^({_TITLE}) ", 1)
-    gender = F.when(F.regexp_replace(title, r"\.$", "").isin(*FEMALE), "f").otherwise("m")
-    name = F.lower(F.regexp_replace(mention, rf"^{_TITLE} ", ""))
+    """Array of (part, kind, norm): one of part 0, or the parts of a name by their place."""
+    titles = F.regexp_extract(mention, rf"^({_TITLES}) ", 1)
+
+    def titled(words: tuple) -> Column:
+        return titles.rlike("(?i)(?:^| )(?:" + "|".join(words) + r")\.?(?: |$)")
+
+    gender = F.when(titled(FEMALE), "f").when(titled(MALE), "m").otherwise("x")
+    pieces = pieces_of(mention)
+    name = F.array_join(pieces, " ")
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     # a family has one surname where surnames have no gender
     of_family = F.when(script == "latin", "any").otherwise(gender)
-    part = lambda role, n: F.struct(
-        F.concat_ws(":", F.lit(role), of_family if role == "surname" else gender, script).alias("kind"), n.alias("norm")
-    )
-    names = F.when(
-        F.instr(name, " ") > 0,
-        F.array(part("surname", F.substring_index(name, " ", -1)), part("given", F.substring_index(name, " ", 1))),
-    ).otherwise(F.array(part("surname", name)))
+
+    def part(piece: Column, i: Column) -> Column:
+        last = i == F.size(pieces) - 1
+        of = F.concat_ws(":", F.when(last, "surname").otherwise("given"), F.when(last, of_family).otherwise(gender), script)
+        return F.struct(i.alias("part"), F.when(~stays(piece), of).alias("kind"), F.lower(piece).alias("norm"))
+
+    names = F.filter(F.transform(pieces, part), lambda p: p["kind"].isNotNull())
     norm = (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "ip", mention)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .otherwise(digits(mention))
     )
-    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    alone = F.array(F.struct(F.lit(0).alias("part"), kind.alias("kind"), norm.alias("norm")))
+    return F.when(kind == "name", names).otherwise(alone)
 
 
 def byte_at(digest: Column, i: Column) -> Column:
@@ -225,16 +269,40 @@ def spaced(mention: Column, replacement: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), other), "")
 
 
-def render(mention: Column, kind: Column, last: Column, given: Column) -> Column:
-    capitals = mention == F.upper(mention)
-    title = F.regexp_extract(mention, rf"^({_TITLE}) ", 1)
-    name = F.concat_ws(" ", F.initcap(given), F.initcap(last))
+def rotated(key: str) -> tuple[str, str]:
+    """Letters and what they become as initials."""
+    digest = hashlib.sha256(f"{key}\x01initials".encode()).digest()
+    turned = ""
+    for n, letters in enumerate(ALPHABETS):
+        by = 1 + digest[n] % (len(letters) - 1)
+        turned += letters[by:] + letters[:by]
+    return "".join(ALPHABETS), turned
+
+
+def render(mention: Column, kind: Column, parts: Column, key: str) -> Column:
+    """A mention with the surrogates of its parts, an array of (part, surrogate)."""
+    only = F.get(parts, F.lit(0))["surrogate"]
+
+    def cased(like: Column, name: Column) -> Column:
+        return F.when(like == F.upper(like), F.upper(name)).otherwise(F.initcap(name))
+
+    def piece(like: Column, i: Column) -> Column:
+        made = F.get(F.filter(parts, lambda p: p["part"] == i), F.lit(0))["surrogate"]
+        return (
+            F.when(like.rlike(f"^{_INITIAL}$"), F.translate(like, *rotated(key)))
+            .when(made.isNull(), like)
+            .otherwise(cased(like, made))
+        )
+
+    titles = F.regexp_extract(mention, rf"^({_TITLES}) ", 1)
+    name = F.array_join(F.transform(pieces_of(mention), piece), " ")
     return (
-        F.when(kind == "email", F.when(capitals, F.upper(last)).otherwise(last))
-        .when(kind == "ip", last)
-        .when(kind == "iban", spaced(mention, last))
-        .when(kind == "name", F.concat(title, F.lit(" "), F.when(F.substring_index(mention, " ", -1) == F.upper(F.substring_index(mention, " ", -1)), F.upper(name)).otherwise(name)))
-        .otherwise(refit(mention, last))
+        F.when(kind == "email", F.when(mention == F.upper(mention), F.upper(only)).otherwise(only))
+        .when(kind == "ip", only)
+        .when(kind == "iban", spaced(mention, only))
+        .when(kind == "name", F.concat(titles, F.lit(" "), name))
+        .when(kind == "word", cased(mention, only))
+        .otherwise(refit(mention, only))
     )
 
 
@@ -245,41 +313,74 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """
     plain = documents(docs)
     holds = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY), F.lit(False))
+    named = F.col("text").rlike(NAME)
+
+    def by_pattern(make) -> Column:
+        return F.when(F.col("named"), make(WIDE)).otherwise(make(ENTITY))
+
     found = materialise(
-        plain.where(holds).select(
-            "doc_id", "text",
+        plain.where(holds).withColumn("named", named).select(
+            "doc_id", "text", "named",
             F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text"), 256).alias("row"),
-            F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("mentions"),
+            by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("mentions"),
         ),
         "pii-found",
     )
+    every = found.select("row", F.posexplode("mentions").alias("place", "mention")).withColumn(
+        "of", kind_of(F.col("mention"))
+    )
+    keep = ("row", "place", "mention", "of", "part", "kind", "norm")
     mentions = (
-        found.select("row", F.posexplode("mentions").alias("place", "mention"))
-        .withColumn("kind_of_mention", kind_of(F.col("mention")))
-        .select(
-            "row", "place", "mention", "kind_of_mention",
-            F.posexplode(entities_of(F.col("mention"), F.col("kind_of_mention"))).alias("part", "entity"),
-        )
-        .select("row", "place", "mention", "kind_of_mention", "part", "entity.kind", "entity.norm")
+        every.where("of <> 'word'")
+        .select("row", "place", "mention", "of", F.explode(entities_of(F.col("mention"), F.col("of"))).alias("entity"))
+        .select("row", "place", "mention", "of", "entity.part", "entity.kind", "entity.norm")
+    )
+    # untitled mentions: words that are a part of a name of the same text; a surname goes first
+    known = mentions.where("of = 'name'").groupBy("row", "norm").agg(F.max("kind").alias("kind"))
+    repeats = (
+        every.where("of = 'word'")
+        .withColumn("norm", F.lower("mention"))
+        .join(known, ["row", "norm"])
+        .withColumn("part", F.lit(0))
+        .select(*keep)
+    )
+    # words that stay keep their place
+    others = every.where("of = 'word'").select(
+        "row", "place", "mention", "of", F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("surrogate")
     )
-    names = drawn_entities(mentions.select("kind", "norm").distinct(), key)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work each: spread by a set number
+    entities = mentions.select("kind", "norm").distinct().repartition(parts, "kind", "norm")
+    names = drawn_entities(entities, key)
     written = (
-        mentions.join(names, ["kind", "norm"])
+        mentions.select(*keep).union(repeats)
+        .join(names, ["kind", "norm"])
+        .select("row", "place", "mention", "of", "part", "surrogate")
+        .union(others)
+        .repartition(parts, "row")
         .groupBy("row", "place")
         .agg(
             F.max("mention").alias("mention"),
-            F.max("kind_of_mention").alias("kind"),
-            F.max(F.when(F.col("part") == 0, F.col("surrogate"))).alias("last"),
-            F.max(F.when(F.col("part") == 1, F.col("surrogate"))).alias("given"),
+            F.max("of").alias("of"),
+            F.sort_array(
+                F.collect_set(F.when(F.col("surrogate").isNotNull(), F.struct("part", "surrogate")))
+            ).alias("parts"),
+        )
+        .withColumn("changed", F.size("parts") > 0)
+        .withColumn(
+            "out",
+            F.when(F.col("changed"), render(F.col("mention"), F.col("of"), F.col("parts"), key)).otherwise(F.col("mention")),
         )
-        .select("row", "place", render(F.col("mention"), F.col("kind"), F.col("last"), F.col("given")).alias("out"))
         # a text's own mentions; the text itself is as large
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "out"))).alias("outs"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("place", "out"))).alias("outs"),
+            F.count_if("changed").alias("n_entities"),
+        )
     )
-    between = F.split("text", ENTITY, -1)
+    between = by_pattern(lambda p: F.split("text", F.lit(p), -1))
     text = F.array_join(
         F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("outs"), i)["out"], F.lit("")))), ""
     )
-    replaced = found.join(written, "row").select("doc_id", text.alias("text"), F.size("mentions").cast("long").alias("n_entities"))
+    replaced = found.join(written, "row").select("doc_id", text.alias("text"), "n_entities")
     return plain.where(~holds).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).union(replaced)

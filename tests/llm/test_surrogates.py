@@ -69,3 +69,36 @@ def test_query_leaves_clean_texts_alone(spark):
         assert r.n_entities == len(found)
         assert (r.text == docs[r.doc_id]) == (not found)
         assert not planted & set(known.findall(r.text))
+
+
+NAMES = [
+    (1, "Mr John Paul Smith wrote. Later Smith's note reached John and Mr Smith; SMITH agreed, smith did not."),
+    (2, "Mr J. Smith, Dr Anna Weiss and Prof. Lee; Herr Dr. Jürgen von Berg, then Jürgen von Berg. Weiss left."),
+    (3, "MR SMITH and MRS O'Brien-Jones saw O'Brien-Jones's dog."),
+    (4, "John Smith stays, Smith too, no title here."),
+    (5, "Smith Mr Smith Smith@mail.com Foo-Mr Lee"),
+    (6, "Mr Smith saw " + "Word " * 20000 + "Smith"),
+    (7, "Mr"), (8, "Dr. Иван Петров и Петров"),
+]
+
+
+def test_names_of_any_length_and_untitled_repeats(spark):
+    by = {r.doc_id: r for r in rewritten(spark, NAMES + NAMES[:1]).collect()}
+    assert by[4].text == NAMES[3][1] and by[4].n_entities == 0 and by[7].text == "Mr"
+    one = re.fullmatch(
+        r"Mr (\w+) (\w+) (\w+) wrote\. Later (\w+)'s note reached (\w+) and Mr (\w+); (\w+) agreed, smith did not\.", by[1].text
+    )
+    given, middle, family = one.groups()[:3]
+    assert one[4] == one[6] == family and one[7] == family.upper() and one[5] == given != middle and by[1].n_entities == 5
+    two = re.fullmatch(
+        r"Mr ([A-Z])\. (\w+), Dr (\w+) (\w+) and Prof\. (\w+); Herr Dr\. (\w+) von (\w+), then (\w+) von (\w+)\. (\w+) left\.", by[2].text
+    )
+    assert two[1] != "J" and two[2] == family and two[10] == two[4] and (two[6], two[7]) == (two[8], two[9])
+    assert not {"Anna", "Weiss", "Lee", "Jürgen", "Berg"} & set(two.groups())
+    three = re.fullmatch(r"MR (\w+) and MRS (\w+) saw (\w+)'s dog\.", by[3].text)
+    assert three[1] == family.upper() and three[2] == three[3]
+    five = re.fullmatch(r"(\w+) Mr (\w+) (\S+)@(\S+) Foo-Mr (\w+)", by[5].text)
+    assert five[1] == five[2] == family and five[3] != "Smith" and five[5] == two[5]
+    assert by[6].text == f"Mr {family} saw " + "Word " * 20000 + family and by[6].n_entities == 2
+    eight = re.fullmatch(r"Dr\. (\w+) (\w+) и (\w+)", by[8].text)
+    assert eight[2] == eight[3] != "Петров" and eight[1] != "Иван"
