@@ -2,6 +2,7 @@
 
 ``to_json`` neither sorts keys nor escapes non-ASCII, so documents that are hashed
 are put together from their parts. A part is a string column holding JSON text.
+Documents whose keys are not known beforehand go through :func:`canonical`.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions.text import float_text
 
@@ -86,3 +89,33 @@ def obj(fields: Mapping[str, Column]) -> Column:
 def text(value: str, ascii_only: bool = False) -> Column:
     """A constant string."""
     return F.lit(json.dumps(value, ensure_ascii=ascii_only))
+
+
+def _canonical(document: str | None) -> str | None:
+    def refuse(constant: str):
+        raise ValueError(constant)
+
+    try:
+        held = json.loads(document, parse_constant=refuse)
+        out = json.dumps(held, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        out.encode()
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_udf(documents: pd.Series) -> pd.Series:
+    return documents.map(_canonical)
+
+
+def canonical(document: Column) -> Column:
+    """Any JSON document with keys sorted at every level and no spaces; non-ASCII is kept.
+
+    Keys sort by code point, of equal keys the last counts. Whole numbers keep all digits,
+    others take their shortest exact form. Null where the text is null, is no JSON, holds
+    NaN, an infinity or half a surrogate pair, or nests deeper than can be read; such
+    documents cannot be hashed, and callers treat a null digest as a refusal. Keys are
+    data here, which built-in functions cannot sort at every level, so this runs on Arrow batches.
+    """
+    return _canonical_udf(document)

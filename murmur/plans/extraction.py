@@ -170,6 +170,26 @@ def canonical_documents(spark, sf):
     )
 
 
+@query(
+    "canonical_any_document",
+    """SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN sha256('{"10":'||doc_id||',"9":[3,{"a":true,"b":null},[]],'
+ ||'"Z":{"k":{"y":1.5,"é":{}},"x":-2},"lang":'||CAST(to_json(lang) AS VARCHAR)||',"text":'
+ ||CAST(to_json(text) AS VARCHAR)||',"ä":"last"}') END AS digest FROM documents""",
+)
+def canonical_any_document(spark, sf):
+    """Documents of unknown keys, nested and spaced, in the form that is hashed; cut ones are refused."""
+    written = F.concat(
+        F.lit('{ "text" : '), jsontext.string(F.col("text"), ascii_only=True),
+        F.lit(', "\\u00e4": "first", "Z": {"x": -2, "k": { "\\u00e9": {}, "y":1.50}},\n "lang":\t'),
+        jsontext.string(F.col("lang")), F.lit(', "9": [3, {"b": null, "a": true}, [ ]], "10": '),
+        F.col("doc_id").cast("string"), F.lit(', "ä":"last"'),
+        F.when(F.col("doc_id") % 10 == 7, F.lit("")).otherwise(F.lit("}")),
+    )
+    return table(spark, sf, "documents").select(
+        "doc_id", text.text_digest(jsontext.canonical(written)).alias("digest")
+    )
+
+
 @query(
     "deterministic_ids",
     f"""SELECT doc_id, {uuid5_sql(ids.CONTENT_NAMESPACE, "'account|html|'||source")} AS account_id,

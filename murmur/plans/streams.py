@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmur.operators import baseline, burst
+from murmur.operators import baseline, burst, chain
 from murmur.plans import sample
 from murmur.plans.detection import _HOURLY, WINDOWS_SQL, _windows
+from murmur.plans.reads import _AUDIT, _audit_rows
 from murmur.plans.registry import plain, query, table
 from murmur.plans.sample import JOBS_SQL, bursts_sql
 from murmur.session import work_dir
 from murmur.streaming import jobs, windows
+from murmur.streaming.chains import ChainStream
 
 CHUNKS = 3
 
@@ -187,3 +189,23 @@ def stream_source_health(spark, sf):
             "last_success_at": plain("last_success_at"),
         }
     )
+
+
+@query(
+    "stream_audit_chain",
+    _AUDIT + " SELECT tenant_id, CAST(i AS BIGINT) AS chain_index, entry_id, entry_hash FROM c",
+)
+def stream_audit_chain(spark, sf):
+    """The audit chain linked batch by batch, with the last batch delivered again; the same as in one pass."""
+    path = work_dir(spark, "audit-chain")
+    rows = chain.with_occurred_text(_audit_rows(spark, sf))
+    job = ChainStream(spark, path, chain.AUDIT, ["conv_id", "turn"])
+    # of each tenant the earlier conversations first
+    place = F.pmod("conv_id", F.lit(64))
+    for n in range(CHUNKS):
+        chunk = rows.where((place >= 64 * n // CHUNKS) & (place < 64 * (n + 1) // CHUNKS))
+        chunk.write.parquet(f"{path}/landing/part={n}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/landing/part=*")
+        jobs.run(stream, job.process, f"{path}/checkpoint")
+    job.process(chunk, job.store.state().applied["chain"])
+    return job.entries().select("tenant_id", "chain_index", "entry_id", "entry_hash")

@@ -160,3 +160,18 @@ def test_source_lines(spark):
     for line, _, url in SOURCES:
         assert got[line][0] == url
         assert (got[line][1] is None) == (url is not None)
+
+
+def test_canonical_document(spark):
+    """Against Python's own sorted writing, over odd documents."""
+    good = [
+        '{"b": 1, "a": [1.0, 1e3, -0.0, 12345678901234567890123, 0.1]}', '{"b":{"z":{"é":1,"e":2},"a":null},"B":true}',
+        '[]', ' {"a" :\n"\\u10d0\\/\\t\\u0001\\"" }', '{"a":1,"a":2}', '"x"', "null", '{"\U0001F600":1,"\uffff":2}', "[" * 200 + "]" * 200,
+    ]
+    bad = [None, "", "{", '{"a":NaN}', "[Infinity]", '["\\ud800"]', "{'a':1}", "[" * 200000 + "]" * 200000, "1 2"]
+    got = column(spark, good + bad, jsontext.canonical)
+    assert got[len(good):] == [None] * len(bad)
+    for text_, made in zip(good, got):
+        assert made == json.dumps(json.loads(text_), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert json.loads(made) == json.loads(text_)
+    assert got[4] == '{"a":2}' and got[0].startswith('{"a":[1.0,1000.0,-0.0,12345678901234567890123,0.1]')
