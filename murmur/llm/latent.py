@@ -6,9 +6,10 @@
    nothing: a passage copied into very many documents is made of common terms.
 2. A randomised SVD of the passage matrix (two power iterations) gives a latent
    space that is cut off where it holds ``ENERGY`` of the squared lengths, at
-   ``RANK`` dimensions at most; twice ``RANK`` passages share a space. A passage of
-   which the space keeps less than ``KEPT`` (squared) would be lost in it and moves
-   on to the next space, so each is searched for where it shows. Every product
+   ``RANK`` dimensions at most; twice ``RANK`` passages share a space. Passages of
+   which the space keeps less than ``KEPT`` (squared) would be lost in it: their own
+   directions are added while there is room, and what is lost still moves on to
+   the next space, so each is searched for where it shows. Every product
    with the matrix is a Spark job over passages: tasks multiply their rows, and
    partial sums are added up by block of terms. The driver only handles matrices
    of the size of the rank, and the term vectors of one block of items.
@@ -219,21 +220,33 @@ def build(docs: DataFrame, passages: list[Passage], rank: int = RANK, energy: fl
     spaces = []
     unit = {i: np.asarray(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in usable}
 
-    def directions(some: list[int], energy: float) -> tuple[np.ndarray, np.ndarray]:
+    def directions(some: list[int], energy: float, most: int) -> np.ndarray:
         matrix = spark.createDataFrame(
             [(rows[i][0], unit[i].tolist()) for i in some], "ids array<int>, weights array<double>"
         )
-        right = randomised_svd(matrix, len(terms), len(some), rank, energy)
-        return right, np.array([np.linalg.norm(unit[i] @ right[rows[i][0]]) ** 2 for i in some])
+        return randomised_svd(matrix, len(terms), len(some), most, energy)
+
+    def kept(some: list[int], right: np.ndarray) -> np.ndarray:
+        return np.array([np.linalg.norm(unit[i] @ right[rows[i][0]]) ** 2 for i in some])
 
     left = usable
     while left:
         chunk, left = left[: 2 * rank], left[2 * rank :]
-        right, shares = directions(chunk, energy)
+        right = directions(chunk, energy, rank)
+        shares = kept(chunk, right)
         if not (shares >= KEPT).any():
             # too many unlike passages for one space: fewer, with a direction each
             chunk, left = chunk[:rank], chunk[rank:] + left
-            right, shares = directions(chunk, 1.0)
+            right = directions(chunk, 1.0, rank)
+            shares = kept(chunk, right)
+        while (shares < KEPT).any() and right.shape[1] < rank:
+            lost = [i for i, share in zip(chunk, shares, strict=True) if share < KEPT]
+            more = directions(lost, energy, rank - right.shape[1])
+            # what the space holds already adds nothing
+            for _ in range(2):
+                more = more - right @ (right.T @ more)
+            right = np.hstack([right, np.linalg.qr(more)[0]])
+            shares = kept(chunk, right)
         some = [i for i, share in zip(chunk, shares, strict=True) if share >= KEPT]
         left = [i for i, share in zip(chunk, shares, strict=True) if share < KEPT] + left
         vectors = np.array([np.asarray(rows[i][1]) @ right[rows[i][0]] for i in some])
