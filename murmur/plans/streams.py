@@ -9,16 +9,19 @@ from murmur.plans import sample
 from murmur.plans.detection import _HOURLY, WINDOWS_SQL, _windows
 from murmur.plans.reads import _AUDIT, _audit_rows
 from murmur.plans.registry import plain, query, table
-from murmur.plans.sample import JOBS_SQL, bursts_sql
+from murmur.plans.sample import BY_USER_GROUP, JOBS_SQL, bursts_sql
 from murmur.session import work_dir
-from murmur.streaming import jobs, windows
+from murmur.streaming import jobs, stateful, windows
 from murmur.streaming.chains import ChainStream
 
 CHUNKS = 3
 
 
-def _replay(spark, sf, build, drive, doubled: bool = False):
-    """Deliver all events in id order in a few parts; ``drive`` consumes each as it lands."""
+def _replay(spark, sf, build, drive, doubled: bool = False, closing: bool = False):
+    """Deliver all events in id order in a few parts; ``drive`` consumes each as it lands.
+
+    ``closing`` sends a row of nobody two days later, so that the watermark passes all rows.
+    """
     landing = work_dir(spark, "landing")
     events = table(spark, sf, "events")
     top = events.agg(F.max("event_id").alias("m")).first().m + 1
@@ -31,14 +34,20 @@ def _replay(spark, sf, build, drive, doubled: bool = False):
         chunk.drop("event_id").write.parquet(f"{landing}/part={part}")
         schema = spark.read.parquet(f"{landing}/part={part}").schema
         drive(spark.readStream.schema(schema).parquet(f"{landing}/part=*"))
+    if closing:
+        later = F.max("posted_at") + F.expr("INTERVAL 2 DAYS")
+        last = spark.read.parquet(f"{landing}/part={CHUNKS - 1}").agg(later.alias("posted_at"))
+        nobody = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "posted_at"]
+        last.select("posted_at", *nobody).write.parquet(f"{landing}/part={CHUNKS}")
+        drive(spark.readStream.schema(schema).parquet(f"{landing}/part=*"))
 
 
-def _observed(events):
+def _observed(events, project=None):
     ts = F.col("ts").cast("timestamp")
     return events.select(
         "event_id",
         F.lit("t0").alias("tenant_id"),
-        F.lit("all").alias("project_id"),
+        (F.lit("all") if project is None else project).alias("project_id"),
         F.col("event_type").alias("source_id"),
         F.col("event_id").cast("string").alias("content_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account_id"),
@@ -60,6 +69,25 @@ def stream_bursts(spark, sf):
     return _windows(job.findings())
 
 
+@query("stream_bursts_stateful", bursts_sql(BY_USER_GROUP, 3600, 4, 3) + WINDOWS_SQL)
+def stream_bursts_stateful(spark, sf):
+    """Burst windows of an hour from rows held in the state store; the same as in one pass."""
+    path = work_dir(spark, "bursts-state")
+    rule = burst.BurstRule("hour", "hour windows", 3600, 4, 3)
+
+    def observed(events):
+        return _observed(events, sample.by_user_group())
+
+    def drive(stream):
+        found = stateful.burst_windows(stream, rule, "10 minutes")
+        stateful.with_state_store(
+            spark, lambda: jobs.run_to_files(found, f"{path}/out", f"{path}/checkpoint")
+        )
+
+    _replay(spark, sf, observed, drive, closing=True)
+    return _windows(spark.read.parquet(f"{path}/out"))
+
+
 @query(
     "stream_sliding",
     """WITH w AS (SELECT unnest([epoch_us(ts) // 120000000 * 120000000, epoch_us(ts) // 120000000 *
@@ -81,6 +109,27 @@ def stream_sliding(spark, sf):
     return out.select(plain("window_start").alias("window_start"), "items")
 
 
+@query(
+    "stream_sliding_accounts",
+    """WITH w AS (SELECT unnest([epoch_us(ts) // 3600000000 * 3600000000, epoch_us(ts) // 3600000000 *
+ 3600000000 - 3600000000]) AS s, user_id FROM events) SELECT make_timestamp(s) AS window_start,
+ count(*) AS items FROM w GROUP BY s HAVING count(*) >= 4 AND count(DISTINCT user_id) >= 0.7 * 36
+ AND s + 7200000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)""",
+)
+def stream_sliding_accounts(spark, sf):
+    """Closed windows of two hours in which a burst of 36 accounts is possible, by sketches of panes."""
+    path = work_dir(spark, "sliding-accounts")
+    rule = burst.BurstRule(window_seconds=3600, minimum_accounts=36)
+
+    def drive(stream):
+        found = windows.busy_windows(stream, rule, "10 minutes")
+        jobs.run_to_files(found, f"{path}/out", f"{path}/checkpoint")
+
+    _replay(spark, sf, _observed, drive)
+    out = spark.read.parquet(f"{path}/out")
+    return out.select(plain("window_start").alias("window_start"), "items")
+
+
 @query(
     "stream_hourly_z",
     _HOURLY

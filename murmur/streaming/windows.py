@@ -8,26 +8,44 @@ from pyspark.sql import functions as F
 from murmur.operators import baseline
 from murmur.operators.burst import SCOPE, BurstRule
 
-#: Relative error asked of the distinct-account sketch, and the slack given for it.
-SKETCH_ERROR = 0.05
+#: Sketches hold 2^12 registers: an error of 1.6 percent, and next to none below some 400
+#: accounts. The slack given for it is far wider, so no possible burst is lost.
+SKETCH_BITS = 12
 SKETCH_SLACK = 0.7
 
 
+def panes(stream: DataFrame, rule: BurstRule, delay: str) -> DataFrame:
+    """Items and account sketch of every pane, one rule window long, once it is closed.
+
+    A row is counted once, in its pane. An empty account name is an account, no name is none.
+    """
+    account = F.concat(F.lit("a"), F.col("account_id"))
+    return (
+        stream.withWatermark("posted_at", delay)
+        .groupBy(*SCOPE, F.window("posted_at", f"{rule.window_seconds} seconds").alias("pane"))
+        .agg(
+            F.count("*").alias("items"),
+            F.hll_sketch_agg(account, SKETCH_BITS).alias("sketch"),
+        )
+    )
+
+
 def busy_windows(stream: DataFrame, rule: BurstRule, delay: str) -> DataFrame:
     """Sliding windows in which a burst is possible.
 
     Every rule window lies inside one window of twice its length that slides by its length,
-    so this is a necessary condition. Items are exact; accounts come from a sketch and are
-    compared with slack. What it lets through is decided by the exact rule.
+    so this is a necessary condition. Such a window is two panes, whose counts are added and
+    whose sketches are united. Items are exact; accounts are compared with slack. What it
+    lets through is decided by the exact rule. A row behind the watermark of its pane is late.
     """
     width = f"{2 * rule.window_seconds} seconds"
     slide = f"{rule.window_seconds} seconds"
     counted = (
-        stream.withWatermark("posted_at", delay)
-        .groupBy(*SCOPE, F.window("posted_at", width, slide))
+        panes(stream, rule, delay)
+        .groupBy(*SCOPE, F.window("pane", width, slide))
         .agg(
-            F.count("*").alias("items"),
-            F.approx_count_distinct("account_id", SKETCH_ERROR).alias("accounts"),
+            F.sum("items").alias("items"),
+            F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("accounts"),
         )
     )
     return counted.where(
