@@ -27,6 +27,19 @@ PLATFORM_SUPPORT = {
     "telegram": "extracts",
 }
 
+#: What a person who adds a source is told.
+PLATFORM_NOTES = {
+    "canary": "A page of your own for trying out the whole path. Its posts are read.",
+    "html": "Any page that opens without a login. It is kept and sealed as evidence, but no posts are "
+    "read from it, so it cannot lead to a finding.",
+    "facebook": "Needs a licensed route and its credentials. Sources may be added now and are collected "
+    "once a route is set up; until then they wait.",
+    "x": "Closed to anonymous readers. Nothing is collected.",
+    "tiktok": "Built in the browser and closed to anonymous readers. Nothing is collected.",
+    "telegram": "Public channels are read through their web preview, with times to the second. One channel "
+    "is one author, so add several.",
+}
+
 
 def _literal(options: tuple[str, ...]) -> str:
     return "|".join(option.replace(".", r"\.") for option in options)
@@ -104,3 +117,11 @@ def platform_support(platform: Column) -> Column:
     for key, support in PLATFORM_SUPPORT.items():
         out = F.when(platform == key, F.lit(support)).otherwise(out)
     return out
+
+
+def platform_note(platform: Column) -> Column:
+    """The note of a platform key; null for a key nobody registered."""
+    out = F.lit(None).cast("string")
+    for key, note in PLATFORM_NOTES.items():
+        out = F.when(platform == key, F.lit(note)).otherwise(out)
+    return out

@@ -79,6 +79,12 @@ def violations(rows: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, broken.alias("violated")).where(F.size("violated") > 0)
 
 
+def counted(rows: DataFrame, table: str) -> DataFrame:
+    """How many rows break each rule; a rule that holds everywhere has no row."""
+    broken = violations(rows, table, []).select(F.explode("violated").alias("rule"))
+    return broken.groupBy("rule").agg(F.count("*").alias("rows"))
+
+
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
